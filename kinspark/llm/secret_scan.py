@@ -82,7 +82,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     judged = each.select("_row", "s", F.col("s.hash").alias("hash")).join(counts, "hash").withColumn("live", F.col("n_owners") < widely)
     judged = judged.where(F.col("s.kind").isin(*BASE) | F.col("live"))
     span = F.struct("s.start", "s.rank", "s.kind", "s.stop", "hash", "n_repos", "n_owners", "live")
-    by_row = judged.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    by_row = materialize(judged.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("spans")), "judged")  # its size is known to the join below
     empty = F.array().cast(by_row.schema["spans"].dataType)
     return found.join(by_row, "_row", "left").select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), F.coalesce("spans", empty).alias("spans"))
 

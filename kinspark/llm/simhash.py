@@ -146,3 +146,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     known = groups.join(roots, "root").select(F.col("node").alias("fp"), "component", "others")
     labels = nodes.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("others", F.lit(0)).alias("n_linked"))
     return own.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_linked")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: the one with the least id, and of rows equal in every column one.
+
+    Rows are told apart by id and a digest of all columns, so that repeated or null ids do no harm. What is
+    joined to the documents is the table of rows to drop.
+    """
+    key = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in docs.columns))
+    keyed = docs.withColumn("_key", key)
+    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col("_key").alias("key")).alias("doc_id"), F.col(text_col).alias("text"))
+    found = near_duplicates(named, words, radius).select(F.col("doc_id.key").alias("_key"), (F.col("doc_id") != F.col("component_id")).alias("later"))
+    judged = materialize(found.groupBy("_key").agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("n")).where("later or n > 1"), "dropped")
+    kept = keyed.join(judged.select("_key"), "_key", "left_anti").select(*docs.columns)
+    equal = judged.where("not later").select("_key")
+    if equal.isEmpty():
+        return kept
+    return kept.unionByName(keyed.join(equal, "_key").dropDuplicates(["_key"]).select(*docs.columns))
