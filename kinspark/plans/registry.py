@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("q_text", "q_features", "q_blocking")
+
+
+def _all(name: str) -> dict:
+    found: dict = {}
+    for module in MODULES:
+        found |= getattr(import_module(f"kinspark.plans.{module}"), name)
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _all("ORACLE")
