@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_text", "q_features", "q_blocking", "q_metrics")
+MODULES = ("q_text", "q_features", "q_blocking", "q_metrics", "q_files")
 
 
 def _all(name: str) -> dict:
