@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinspark.llm import bpe, decontaminate, secret_scan, simhash, toxicity
 from kinspark.llm._common import materialize, read_table
@@ -12,7 +13,7 @@ from kinspark.llm._common import materialize, read_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, fitted on the labels of those given, doesn't reject."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, keep=tuple(docs.columns)).where(f"score < {toxicity.THRESHOLD}").drop("score")
+    return toxicity.score_documents(docs, model, keep=tuple(docs.columns), name="_kinspark_score").where(f"_kinspark_score < {toxicity.THRESHOLD}").drop("_kinspark_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with live-looking secrets masked; n_chars is that of the new text."""
-    return secret_scan.redact(docs).withColumn("n_chars", _length("text"))
-
-
-def _length(column: str):
-    from pyspark.sql import functions as F
-
-    return F.coalesce(F.length(column).cast("long"), F.lit(0).cast("long"))
+    return secret_scan.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

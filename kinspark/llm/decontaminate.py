@@ -27,6 +27,8 @@ MARK = "\u0001"
 UNITS = ("kg", "mg", "g", "km", "cm", "mm", "m", "miles", "mile", "feet", "ft", "inches", "inch", "litres", "liters", "ml", "l", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "years", "year", "dollars", "euros", "cents", "percent", "degrees", "mph", "kwh", "kw", "hz")
 LEAST_COVER, DRIFT = 0.4, 3
 MOST_BROADCAST = 2_000_000
+#: A column of this name is only used within.
+KEY = "_kinspark_key"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,6 +129,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that match no item. Rows are told apart by a digest of all their columns, so that equal ids don't matter."""
     key = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit(MARK)) for c in docs.columns))
-    keyed = docs.withColumn("_key", key)
-    leaks = materialize(find_leaks(keyed, benchmark, id_col="_key", text_col=text_col).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(KEY, key)
+    leaks = materialize(find_leaks(keyed, benchmark, id_col=KEY, text_col=text_col).select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
+    return keyed.join(leaks, KEY, "left_anti").select(*docs.columns)

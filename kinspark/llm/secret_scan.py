@@ -66,25 +66,30 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_spans"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", widely: int = WIDELY_COPIED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row ``id_col``, the columns in ``keep``, and ``spans``: array of (start, rank, kind, stop, hash, n_repos, n_owners, live), sorted.
+def _scan(docs: DataFrame, kept: dict[str, str], text_col: str, repo_col: str, owner_col: str, widely: int) -> DataFrame:
+    """The columns in ``kept`` (old name to new) and ``_spans`` of every row.
 
-    One pass over the texts writes the spans found, without the texts; counting and joining work on those.
-    A value that a third of all rows hold is summed in each task first, and its rows are joined as a skewed
-    key that adaptive execution splits.
+    One pass over the texts writes the spans found, with what is kept; counting and joining work on spans
+    alone. A value that a third of all rows hold is summed in each task first, and its rows are joined as a
+    skewed key that adaptive execution splits.
     """
     found = materialize(
-        docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(repo_col).cast("string").alias("_repo"), F.col(owner_col).cast("string").alias("_owner"), all_spans(text_or_empty(text_col)).alias("_spans"), *(F.col(c).alias(f"_keep_{c}") for c in keep)),
+        docs.select(F.monotonically_increasing_id().alias("_row"), F.col(repo_col).cast("string").alias("_repo"), F.col(owner_col).cast("string").alias("_owner"), all_spans(text_or_empty(text_col)).alias("_found"), *(F.col(c).alias(name) for c, name in kept.items())),
         "spans",
     )
-    each = found.where(F.size("_spans") > 0).select("_row", "_repo", "_owner", F.explode("_spans").alias("s"))
+    each = found.where(F.size("_found") > 0).select("_row", "_repo", "_owner", F.explode("_found").alias("s"))
     counts = ownership(each.select(F.col("s.hash").alias("hash"), F.col("_repo").alias("repo"), F.col("_owner").alias("owner")))
     judged = each.select("_row", "s", F.col("s.hash").alias("hash")).join(counts, "hash").withColumn("live", F.col("n_owners") < widely)
     judged = judged.where(F.col("s.kind").isin(*BASE) | F.col("live"))
     span = F.struct("s.start", "s.rank", "s.kind", "s.stop", "hash", "n_repos", "n_owners", "live")
-    by_row = materialize(judged.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("spans")), "judged")  # its size is known to the join below
-    empty = F.array().cast(by_row.schema["spans"].dataType)
-    return found.join(by_row, "_row", "left").select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), F.coalesce("spans", empty).alias("spans"))
+    by_row = materialize(judged.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_spans")), "judged")  # its size is known to the join below
+    empty = F.array().cast(by_row.schema["_spans"].dataType)
+    return found.join(by_row, "_row", "left").select(*kept.values(), F.coalesce("_spans", empty).alias("_spans"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", widely: int = WIDELY_COPIED) -> DataFrame:
+    """Per row ``id_col`` and ``spans``: array of (start, rank, kind, stop, hash, n_repos, n_owners, live), sorted."""
+    return _scan(docs, {id_col: "_id"}, text_col, repo_col, owner_col, widely).select(F.col("_id").alias(id_col), F.col("_spans").alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -113,15 +118,16 @@ def redact(docs: DataFrame, mask: str = "<secret>", widely: int = WIDELY_COPIED,
 
     Overlapping spans are replaced as one. A null text stays null.
     """
-    columns = docs.columns
-    found = scan(docs.withColumn("_at", F.lit(0)), id_col="_at", text_col=text_col, repo_col=repo_col, owner_col=owner_col, widely=widely, keep=tuple(columns))
-    live = F.filter("spans", lambda s: s["live"])
+    kept = {c: f"_keep{i}" for i, c in enumerate(docs.columns)}
+    found = _scan(docs, kept, text_col, repo_col, owner_col, widely)
+    body = F.col(kept[text_col])
+    live = F.filter("_spans", lambda s: s["live"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        plain = F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        plain = F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         overlaps = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(overlaps, acc["out"]).otherwise(F.concat(acc["out"], plain, F.lit(mask))).alias("out"))
 
-    done = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return found.select(*(F.when(F.size(live) > 0, done).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in columns))
+    done = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return found.select(*(F.when(F.size(live) > 0, done).otherwise(body).alias(c) if c == text_col else F.col(name).alias(c) for c, name in kept.items()))

@@ -25,6 +25,8 @@ from kinspark.llm.components import connected_components
 
 BITS = 64
 SEED = 42
+#: A column of this name is only used within.
+KEY = "_kinspark_key"
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -155,12 +157,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_co
     joined to the documents is the table of rows to drop.
     """
     key = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in docs.columns))
-    keyed = docs.withColumn("_key", key)
-    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col("_key").alias("key")).alias("doc_id"), F.col(text_col).alias("text"))
-    found = near_duplicates(named, words, radius).select(F.col("doc_id.key").alias("_key"), (F.col("doc_id") != F.col("component_id")).alias("later"))
-    judged = materialize(found.groupBy("_key").agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("n")).where("later or n > 1"), "dropped")
-    kept = keyed.join(judged.select("_key"), "_key", "left_anti").select(*docs.columns)
-    equal = judged.where("not later").select("_key")
+    keyed = docs.withColumn(KEY, key)
+    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(KEY).alias("key")).alias("doc_id"), F.col(text_col).alias("text"))
+    found = near_duplicates(named, words, radius).select(F.col("doc_id.key").alias(KEY), (F.col("doc_id") != F.col("component_id")).alias("later"))
+    judged = materialize(found.groupBy(KEY).agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("n")).where("later or n > 1"), "dropped")
+    kept = keyed.join(judged.select(KEY), KEY, "left_anti").select(*docs.columns)
+    equal = judged.where("not later").select(KEY)
     if equal.isEmpty():
         return kept
-    return kept.unionByName(keyed.join(equal, "_key").dropDuplicates(["_key"]).select(*docs.columns))
+    return kept.unionByName(keyed.join(equal, KEY).dropDuplicates([KEY]).select(*docs.columns))

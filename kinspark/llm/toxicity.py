@@ -215,8 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else None)
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` and ``score``: a map over rows, without a shuffle."""
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns in ``keep`` and the score as ``name``: a map over rows, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((model.units, model.weights, model.bias))  # at most MOST_UNITS units
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     scored = docs.select(text_or_empty(text_col).alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).mapInArrow(run, f"{kinds}, score double")
-    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score")
+    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), F.col("score").alias(name))
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

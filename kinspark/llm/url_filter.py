@@ -99,4 +99,4 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     zero = F.lit(0.0)
     scores = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
     method = F.when(F.coalesce("distrust", zero) > margin * F.coalesce("trust", zero), "block").otherwise("allow")
-    return judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
+    return judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.round(F.coalesce("trust", zero), 6).alias("trust"), F.round(F.coalesce("distrust", zero), 6).alias("distrust"))
