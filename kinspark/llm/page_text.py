@@ -2,15 +2,14 @@
 
 A page is read into lines (blocks of text). Menus, headers, footers, asides, forms, notices, adverts,
 comments and the like are left out by element, role and class. Where the page marks its article (or main)
-element, the text is what that holds. Other pages are paired with the page of their host whose path is
-nearest in order, both pages' lines are aligned by longest common subsequence, and the shared lines, which
-belong to the site and not to the page, are deleted. Lines of a marked article are never deleted: two
+element, the text is what that holds. Other pages are paired with the pages of their host whose paths are
+nearest in order, before and after; lines are aligned by longest common subsequence, and the shared lines,
+which belong to the site and not to the page, are deleted. Lines of a marked article are never deleted: two
 copies of one article share all of them.
 
 Cases: null html has no text; markup that ends early or nests wrongly is read as far as it goes; a page
 whose neighbours are all copies of it keeps its lines; a page alone in its host likewise; ties in the path
-order are settled by url and page_id, and between two neighbours equally near the earlier counts; repeated
-rows stay; an empty table gives an empty result; only the named columns are read.
+order are settled by url and page_id; repeated rows stay; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -146,22 +145,14 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def own_lines(lines: list[str], neighbours: list[list[str]]) -> list[str]:
-    """The lines without those shared with the first neighbour that is no copy."""
+    """The lines without those shared with a neighbour that is no copy of the page."""
     total = sum(map(len, lines))
+    gone: set[int] = set()
     for other in neighbours:
         shared = shared_lines(lines, other)
         if sum(len(lines[i]) for i in shared) <= COPY_SHARE * total:
-            return [x for i, x in enumerate(lines) if i not in shared]
-    return lines
-
-
-def _nearness(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+            gone |= shared
+    return [x for i, x in enumerate(lines) if i not in gone]
 
 
 PARSED = "page_id {kind}, url string, host string, path string, text string, lines array<string>"
@@ -208,7 +199,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         for after in rows():
             if now is not None and now[5]:
                 near = [x for x in (before, after) if x is not None and x[:2] == now[:2] and now[0]]
-                near.sort(key=lambda x: -_nearness(x[2], now[2]))
                 out.append((now[4], now[3], " ".join(own_lines(now[6], [x[6] for x in near]))))
             before, now = now, after
             if len(out) >= 500 or now is None and out:

@@ -31,6 +31,8 @@ SAMPLE_ROWS = 3000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8, 9)
 MOST_UNITS = 400
+#: A text without any evidence scores at most this, whatever the share of toxic labels.
+MOST_WITHOUT_EVIDENCE = 0.2
 LEAST_ROWS = 4
 GOLD_ACCURACY = 0.98
 WORD = re.compile(r"\w+")
@@ -194,7 +196,8 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None) -> Model
     real = min(max(prior if prior is not None else share, 1e-4), 1 - 1e-4)
     shift = math.log(real / (1 - real)) - math.log(share / (1 - share))
     names = [*units, *PATTERNS]
-    return Model(index, w[:-1], float(w[-1] + shift), {n: (float(rates[1, i]), float(rates[0, i])) for i, n in enumerate(names)})
+    bias = min(float(w[-1] + shift), math.log(MOST_WITHOUT_EVIDENCE / (1 - MOST_WITHOUT_EVIDENCE)))
+    return Model(index, w[:-1], bias, {n: (float(rates[1, i]), float(rates[0, i])) for i, n in enumerate(names)})
 
 
 def held_out(id_col: str) -> Column:

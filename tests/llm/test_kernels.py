@@ -1,0 +1,199 @@
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+
+from kinspark.llm import bpe, language_id, media, page_text, simhash, sstable, toxicity
+
+ALPHABET = " \n\t\r\x1c\x85 abcABC'sst123,.!éßÉ字😀́١ Σ¬"
+
+
+def random_texts(n, seed=1, longest=40):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(ALPHABET, k=rng.randint(0, longest))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_bpe_as_the_library(encoder):
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.table.ranks, special_tokens={})
+    texts = [*random_texts(3000), "", "ab" * 3000, "the quick brown fox " * 50]
+    for text, ids in zip(texts, encoder.encode_many(texts), strict=True):
+        assert memoryview(ids).cast("I").tolist() == theirs.encode_ordinary(text) if ids else text == ""
+        assert encoder.decode(ids) == text.encode()
+
+
+def test_segment_tree_side_by_side_equals_one_by_one(encoder):
+    rng = random.Random(3)
+    pieces = [bytes(rng.choices(b"abcdeth ing", k=rng.randint(1, 64))) for _ in range(500)]
+    for piece, ids in zip(pieces, encoder.table.merge(pieces), strict=True):
+        assert memoryview(ids).cast("I").tolist() == bpe.merge_piece(piece, encoder.table.ranks)
+
+
+def test_word_encoder_as_the_library():
+    own = sstable.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    texts = random_texts(2000, 5)
+    for ids, theirs in zip(own.encode_many(texts), own.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*theirs.ids, 1]
+
+
+def test_shard_round_trip(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 200)
+    rng = random.Random(2)
+    rows = sorted([(rng.randint(-50, 50), np.array(rng.choices(range(60000), k=rng.randint(0, 40)), "<u2").tobytes()) for _ in range(300)], key=lambda r: r[0])
+    path = str(tmp_path / "x.sst")
+    with pa.OSFile(path, "wb") as out:
+        writer = sstable.Writer(out, 2)
+        for i, ids in [(None, b"\1\0"), *rows]:
+            writer.add(sstable.key_of(i), ids)
+        writer.close()
+    with pa.OSFile(path) as source:
+        reader = sstable.Reader(source)
+        assert len(reader.index) > 5
+        assert [(sstable.id_of(k), bytes(v)) for k, v in reader] == [(None, b"\1\0"), *rows]
+        for i in range(-60, 60):
+            assert reader.get(sstable.key_of(i)) == [v for k, v in rows if k == i]
+        assert reader.get(b"") == [b"\1\0"]
+
+
+def test_covering_masks():
+    masks = simhash.covering_masks(4)
+    rng = random.Random(4)
+    assert len(masks) == 31
+    for _ in range(3000):
+        flips = sum(1 << i for i in rng.sample(range(64), rng.randint(0, 4)))
+        assert any(flips & m == 0 for m in masks)
+
+
+def test_fingerprint_by_counting():
+    text = "The quick\tbrown fox JUMPS over\nthe lazy dog ünd more"
+    words = text.encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(len(words) - 3)]
+    want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    assert simhash.fingerprint(text) == want
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+    assert simhash.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42)
+
+
+def test_star_links_keep_components():
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    members = np.array(sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(40)}), np.uint64)
+
+    def components(links):
+        root = {int(m): int(m) for m in members}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        groups = {}
+        for m in root:
+            groups.setdefault(find(m), set()).add(m)
+        return {frozenset(g) for g in groups.values()}
+
+    every = [(int(a), int(b)) for a in members for b in members if a < b and (int(a) ^ int(b)).bit_count() <= 4]
+    stars = [(int(a), int(b)) for a, others in simhash.star_links(members, 4) for b in others]
+    assert components(every) == components(stars) and len(stars) < len(members)
+
+
+def test_media():
+    for text in (None, "", "x", "y" * 192, "ü" * 5000):
+        payload, n = media.payload_of(text)
+        assert len(payload) % 192 == 0 and len(payload) >= 192 and payload[:n].decode() == (text or "")
+        back, rate = media.from_wav(media.to_wav(payload))
+        assert back == payload
+        assert media.summary(*media.features(back, rate)) == media.summary(*media.features(payload, rate))
+    x = np.sin(np.arange(4001) / 9)
+    assert np.allclose(media.halve(x), media.resample(x, 1, 2))
+    full = np.convolve(x, media.low_pass(1, 2, 32))[: len(x)][::2]
+    assert np.allclose(media.halve(x), full)
+    assert media.active_spans(np.array([0.0] * 30 + [30.0] * 30 + [0.0] * 30)) != []
+
+
+def _plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_shared_lines():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        shared = page_text.shared_lines(a, b)
+        assert len(shared) == _plain_lcs(a, b)
+        it = iter(b)
+        assert all(x in it for x in (a[i] for i in sorted(shared)))
+
+
+def test_read_lines():
+    page = (
+        "<html><head><title>t</title><style>p{}</style></head><body><nav><a href='/x'>menu</a></nav><!-- c --><div class='ad'>buy</div><header>site</header>"
+        "<article><h1>A &amp; B&am</h1><p>one <b>two</b>three<br>four<p>five<aside>side</aside><form>f</form><div class=comments>c</div><script>var a='</p>';</script></article><footer>&copy;</footer>"
+    )
+    assert page_text.read_lines(page)[0] == ["A & B&am", "one twothree", "four", "five"]
+    assert page_text.read_lines(None) == ([], [], False) and page_text.read_lines("") == ([], [], False)
+    inside, outside, marked = page_text.read_lines("<p>a</p><div>b<span>c</span></div>")
+    assert (inside, outside, marked) == ([], ["a", "bc"], False)
+    page_text.read_lines("<" * 5000 + "<a href='" + "x" * 1000)
+
+
+def test_forward_backward_over_segments():
+    rng = np.random.default_rng(0)
+    t = rng.random((3, 3)).astype(np.float32) + 0.1
+    potentials = rng.random((50, 3)).astype(np.float32) + 0.01
+    lengths = np.array([1, 63, 64, 65, 200, 700])
+    index = rng.integers(0, 50, lengths.sum())
+    got, at = language_id.chain_sums(index, lengths, potentials, t), 0
+    for n, sums in zip(lengths, got, strict=True):
+        e = potentials[index[at : at + n]].astype(float)
+        at += n
+        a, b, alpha, beta = [], [None] * n, np.full(3, 1 / 3), np.full(3, 1 / 3)
+        for s in range(n):
+            alpha = (alpha @ t) * e[s]
+            alpha /= alpha.sum()
+            a.append(alpha)
+        for s in range(n - 1, -1, -1):
+            b[s] = beta
+            beta = (beta * e[s]) @ t.T
+            beta /= beta.sum()
+        m = np.array(a) * np.array(b)
+        assert np.allclose(sums, (m / m.sum(1, keepdims=True)).sum(0), rtol=1e-3)
+
+
+def test_languages_and_switches():
+    en, de = "the cat and the dog were with them in the house ", "der hund und die katze waren mit ihnen in dem haus "
+    model = language_id.fit([en * 4] * 20 + [de * 4] * 20, ["en"] * 20 + ["de"] * 20)
+    found = language_id.Predictor(model).predict([en, de, "", "123 !?", en * 3 + de, "x" * 500])
+    assert [x for x, _ in found[:5]] == ["en", "de", "und", "und", "en"] and found[2][1] == 0 and 0 <= found[5][1] <= 1
+
+
+def test_toxicity_learns_words_and_stems():
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(600):
+        words = rng.choices(vocabulary, k=30)
+        if i % 6 == 0:
+            words.insert(9, "zorgle" if i % 12 else "quibb" + rng.choice("abcdefg") * 2)
+        texts.append(" ".join(words))
+        labels.append(int(i % 6 == 0))
+    score = toxicity.fit(texts, labels).scorer()
+    clean = " ".join(rng.choices(vocabulary, k=30))
+    assert score(clean) < 0.3 and score("") < 0.3 and score(f"{clean} zorgle, {clean}") >= 0.3 and score(f"{clean} QUIBBxyz!") >= 0.3
+    assert toxicity.fit(["idiot", "fine"], [0, 0]).scorer()("you idiot") >= 0.3

@@ -1,0 +1,211 @@
+import hashlib
+import itertools
+import re
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kinspark.llm import bpe, components, decontaminate, language_id, media, page_text, queries, secret_scan, simhash, sstable, toxicity, url_filter
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_secret_scan_by_brute_force(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text", "source").collect()
+    got = {(r["doc_id"], r["base_sha256"], r["n_hex"]) for r in secret_scan.scan_digests(odd_docs).collect()}
+    want = set()
+    for r in docs:
+        spans = []
+        text = r["text"] or ""
+        for rank, (kind, pattern, group, least) in enumerate((("assign", secret_scan.ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))):
+            spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        want.add((r["doc_id"], hashlib.sha256(",".join(s for *_, s in sorted(spans)).encode()).hexdigest(), sum(s[1] == 2 for s in spans)))
+    assert got == want
+
+
+def test_ownership_separates_copies(spark):
+    key = "token = 'abcdef0123456789abcdef01'"
+    rows = [(i, f"é {key} x", f"s{i}") for i in range(3)] + [(9, "password=hunter2222", "s0"), (10, "secret=token = abcdefgh", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.scan_digests(docs).collect()}
+    assert got[0]["n_live"] == 0 and got[0]["n_copied"] == 2 and got[9]["n_live"] == 1
+    assert got[10]["n_assign"] == 0  # the first match is too short, and the second overlaps it
+    assert got[0]["spans"].startswith("assign:2:")
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert masked[9] == "<secret>" and masked[0] == f"é {key} x"
+
+
+def test_leaks_and_changed_questions(spark):
+    item = "Anna had 12 apples and gave 5 apples to the boy who lived near the old mill before she ate 12 more and then went home to sleep for the whole of the night"
+    changed = item.replace("12", "30").replace("5", "8")
+    broken = changed[::-1].replace("03", "99", 1)[::-1]
+    docs = [(1, f"start of text {item} end"), (2, f"filler words here {changed} and on"), (3, broken), (4, "nothing of the kind is in here at all, only 12 apples"), (5, None), (6, ""), (7, "short one said hello"), (2, "again clean")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(5))
+    bench = spark.createDataFrame([(70, item), (71, "short one said hello"), (72, None), (73, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(d, bench).collect()}
+    assert set(got) == {(1, 70), (2, 70), (7, 71)}
+    assert got[1, 70]["n_changed"] == 0 and got[2, 70]["n_changed"] > 0
+    kept = decontaminate.drop_leaks(d, bench)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == sorted((i, t) for i, t in docs if t and (i, t) not in docs[:2] and i != 7)
+    empty = bench.limit(0)
+    assert decontaminate.find_leaks(d, empty).count() == 0 and decontaminate.find_leaks(d.limit(0), bench).count() == 0
+
+
+def test_leaks_by_brute_force(spark):
+    """Every item placed anywhere is found; texts without one aren't reported."""
+    import random
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    items = [" ".join(rng.choices(words, k=rng.randint(9, 40))) for _ in range(20)]
+    docs = []
+    for i in range(200):
+        body = rng.choices(words, k=rng.randint(0, 80))
+        if i % 4 == 0:
+            body.insert(rng.randint(0, len(body)), items[i % 20])
+        docs.append((i, " ".join(body)))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(i, i % 20) for i in range(0, 200, 4)}
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 6), (100, 3), (None, 1)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 100: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    path = [(i, i + 1) for i in range(60)]
+    assert {r["root"] for r in components.connected_components(spark.createDataFrame(path, "a long, b long")).collect()} == {0}
+
+
+def test_near_duplicates_by_brute_force(spark, odd_docs):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    rows = []
+    for i in range(30):
+        base = rng.choices(words, k=120)
+        for j in range(rng.randint(1, 4)):
+            own = list(base)
+            if j:
+                own[rng.randrange(120)] = "changed"
+            rows.append((100 + len(rows), " ".join(own)))
+    docs = odd_docs.select("doc_id", "text").collect() + rows
+    frame = spark.createDataFrame([tuple(r) for r in docs], "doc_id long, text string")
+    prints = {(r[0], r[1]): simhash.fingerprint(r[1]) for r in docs}
+    root = {p: p for p in prints.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(root, 2):
+        if (a ^ b).bit_count() <= 4:
+            root[find(a)] = find(b)
+    least = {}
+    for (i, _), p in prints.items():
+        if i is not None:
+            least[find(p)] = min(least.get(find(p), i), i)
+    want = sorted(((r[0], f"{prints[r[0], r[1]]:016x}", least.get(find(prints[r[0], r[1]]))) for r in docs), key=repr)
+    got = simhash.near_duplicates(frame).collect()
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=repr) == want
+    kept = simhash.drop_near_duplicates(frame).collect()
+    assert len(kept) == len({find(p) for p in root})
+
+
+def test_media_and_bpe_on_odd_rows(odd_docs, no_docs):
+    for build in (media.media_digests, lambda d: bpe.encode_digests(d, RANKS, public_tokenizers.PATTERN)):
+        assert build(odd_docs).count() == odd_docs.count() and build(no_docs).count() == 0
+    for r in odd_docs.select("doc_id", "text").join(bpe.encode_documents(odd_docs, RANKS, public_tokenizers.PATTERN), "doc_id").where("doc_id < 3 or doc_id = 4").collect():
+        assert bytes(r["decoded"]).decode() == (r["text"] or "")
+    by_text = media.media_digests(odd_docs.where("doc_id in (6, 7)")).select("feature", "media_sha256").distinct()
+    assert by_text.count() == 1
+    frames = media.media_frames(odd_docs.where("doc_id = 3")).collect()
+    assert all(len(f["mel"]) == media.MELS and f["end_s"] > f["start_s"] for f in frames)
+
+
+def test_shards(spark, odd_docs, no_docs):
+    got = sorted(sstable.shard_digests(odd_docs, WORDS, 1).collect(), key=lambda r: r["start"])
+    assert len(got) == odd_docs.count()
+    assert [r["doc_id"] is not None for r in got] == sorted(r["doc_id"] is not None for r in got)
+    assert [r["doc_id"] for r in got if r["doc_id"] is not None] == sorted(r["doc_id"] for r in got if r["doc_id"] is not None)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in itertools.pairwise(got))
+    assert sstable.shard_digests(no_docs, WORDS, 1).count() == 0
+
+
+def test_pages(spark):
+    site = "<div>Site line</div>{}<div>Imprint of the site</div>"
+    rows = [(i, f"http://h.com/a/{i}", site.format(f"<p>Own text number {i} with several words of its own {i * 7}</p>")) for i in range(5)]
+    rows += [(10, "http://h.com/a/10", "<nav>m</nav><article><p>Marked &lt;here&gt;</p></article><p>Site line</p>"), (11, None, None), (12, "nourl", "<p>x"), (12, "nourl", "<p>x"), (13, "http://h.com/a/9", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lines", F.lit(1)).withColumn("host", F.lit("z")).withColumn("text", F.lit("t"))
+    got = {}
+    for r in page_text.extract_text(pages).collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    assert all(got[i] == [f"Own text number {i} with several words of its own {i * 7}"] for i in range(5))
+    assert got[10] == ["Marked <here>"] and got[11] == [""] and got[12] == ["x", "x"] and got[13] == [""]
+    many = page_text.extract_text(pages, group=2)
+    assert many.count() == len(rows)
+    assert page_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    urls = ["http://a.example.com/en/1", "https://www.example.com/en/x?y", "http://X.NET/es/", "http://x.net/en/", "http://com", "http://q.org/a", None, "nourl", "ftp://h.org#f"]
+    rows = [(i, u, f'<a href="http://bad.net/">x</a><A HREF=//Q.org/z>' if i == 5 else None) for i, u in enumerate(urls)] + [(20, "http://bad.net/es/1", ""), (21, "http://bad.net/es/2", '<a href="http://q.org">')]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rank", F.lit(1))).collect()}
+    assert [got[i]["rule"] for i in range(9)] == ["example.com/en/", "www.example.com/en/", "net/es/", None, None, None, None, None, None]
+    assert [got[i]["verdict"] for i in range(5)] == ["block", "allow", "block", "allow", "allow"]
+    assert got[5]["verdict"] == "block" and got[5]["distrust"] > 0  # it links to a blocked host
+    assert got[2]["host"] == "x.net" and got[6]["host"] == got[7]["path"] == "" and got[8]["host"] == "h.org"
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_page_rank_by_brute_force(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 1)]
+    seeds = {"a": 0.5, "d": 0.5}
+    got = {r["host"]: r["rank"] for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(list(seeds.items()), "host string, weight double"), most_rounds=15).collect()}
+    rank = dict(seeds)
+    out = {}
+    for s, _, n in edges:
+        out[s] = out.get(s, 0) + n
+    for _ in range(15):
+        moved = {}
+        for s, t, n in edges:
+            moved[t] = moved.get(t, 0) + rank.get(s, 0) * n / out[s]
+        flowed = sum(moved.values())
+        rank = {h: 0.85 * moved.get(h, 0) + seeds.get(h, 0) * (1 - 0.85 * flowed) for h in {*moved, *seeds}}
+    assert got == pytest.approx(rank, abs=1e-9) and sum(got.values()) == pytest.approx(1)
+
+
+def test_labels_and_languages_on_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(4, 1, 0), (6, 1, 1), (None, 1, 1), (3, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    got = toxicity.judge_documents(odd_docs, labels).collect()
+    assert len(got) == odd_docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert toxicity.judge_documents(no_docs, labels.limit(0)).count() == 0
+    found = language_id.identify(odd_docs).collect()
+    assert len(found) == odd_docs.count() and {r["lang_pred"] for r in found if r["doc_id"] in (0, 1, 2)} == {"und"}
+    assert language_id.identify(no_docs).count() == 0
+
+
+def test_pipeline_stages_keep_columns(spark, odd_docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([(4, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for start in (odd_docs, no_docs):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.dtypes == start.dtypes, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_one_query_for_each_operator():
+    names = queries.queries()
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
