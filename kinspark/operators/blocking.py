@@ -139,3 +139,19 @@ def evaluate(candidates: DataFrame, truth: DataFrame, queries: DataFrame, by: tu
         F.sum("n_cand").alias("candidates"),
         F.round(F.sum("n_cand") / F.count(F.lit(1)), 6).alias("cand_per_entity"),
     )
+
+
+def smoke_index(records: DataFrame, truth: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """A small index for trial runs: all true matches and about ``share`` of the other records."""
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col("entity_id")), F.lit(1_000_000)) < int(share * 1_000_000)
+    others = records.where(part | (F.col("source") == "S1"))
+    true = records.join(truth.select(F.col("c").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    return others.unionByName(true).distinct()
+
+
+def seed_stability(candidates: DataFrame, truth: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Recall over samples of the entities, one for each seed: mean, deviation, least and most."""
+    hit = truth.join(candidates.select("q", "c", F.lit(1).alias("hit")).distinct(), ["q", "c"], "left")
+    drawn = hit.join(F.broadcast(seeds), F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), "q")), 1, 1) < "5")
+    each = drawn.groupBy("seed").agg((F.count("hit") / F.count(F.lit(1))).alias("r"))
+    return each.agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.stddev_pop("r"), 6).alias("deviation"), F.round(F.min("r"), 6).alias("least"), F.round(F.max("r"), 6).alias("most"))

@@ -80,18 +80,37 @@ def break_even(tp: Column, n_pred: Column, n_true: Column) -> Column:
     return F.when(gain + loss > 0, loss / (gain + loss)).otherwise(1.0)
 
 
-def auc(scored: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rank AUC with tied scores at their average rank.
+def _running(scored: DataFrame, score: str, label: str, by: tuple[str, ...], ascending: bool) -> DataFrame:
+    """``by..., n, pos`` of each distinct score and ``n_before, pos_before`` of all scores before it.
 
-    Scores are counted by value first, so that the running sum goes over distinct values and not over rows.
+    Scores are counted by value first; running sums then go over steps of 1/1024 (as many rows as steps) and,
+    within each step, over its own values, so that no task gets all values.
     """
-    values = scored.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("_r", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    values = scored.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).withColumn("_step", F.floor(F.col(score) * 1024))
+    way = (lambda c: F.col(c)) if ascending else (lambda c: F.col(c).desc())
+    whole = Window.partitionBy(*by).orderBy(way("_step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = values.groupBy(*by, "_step").agg(F.sum("n").alias("sn"), F.sum("pos").alias("sp"))
+    zero = F.lit(0)
+    steps = steps.select(*by, "_step", F.coalesce(F.sum("sn").over(whole), zero).alias("sn"), F.coalesce(F.sum("sp").over(whole), zero).alias("sp"))
+    inner = Window.partitionBy(*by, "_step").orderBy(way(score)).rowsBetween(Window.unboundedPreceding, -1)
+    own = values.withColumn("_n", F.coalesce(F.sum("n").over(inner), zero)).withColumn("_p", F.coalesce(F.sum("pos").over(inner), zero))
+    return own.join(steps, [*by, "_step"]).select(*by, "n", "pos", (F.col("_n") + F.col("sn")).alias("n_before"), (F.col("_p") + F.col("sp")).alias("pos_before"))
+
+
+def auc(scored: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rank AUC with tied scores at their average rank."""
+    ranked = _running(scored, score, label, by, True).withColumn("_r", F.col("n_before") + (F.col("n") + 1) / 2)
     made = ranked.groupBy(*by).agg(F.sum("pos").alias("n1"), (F.sum("n") - F.sum("pos")).alias("n0"), F.sum(F.col("_r") * F.col("pos")).alias("s"))
     return made.select(*by, F.round(F.try_divide(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1").cast("double") * F.col("n0")), 6).alias("auc"))
 
 
+def average_precision(scored: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean over true rows of the precision at their score."""
+    at = _running(scored, score, label, by, False)
+    precision = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
+    return at.groupBy(*by).agg(F.round(F.try_divide(F.sum(precision * F.col("pos")), F.sum("pos")), 6).alias("average_precision"))
+
+
 def loss_decomposition(chosen: DataFrame, candidates: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
     """What F0.5 loses to blocking, to rejected true candidates and to false positives, by counterfactuals."""
     own = per_entity(chosen, truth, queries)
@@ -168,6 +187,7 @@ METRICS = {
     **{n: (classification, n, True) for n in ("accuracy", "f1_macro", "f1_micro", "f1_weighted")},
     "log_loss": (log_loss, "log_loss", False),
     "auc": (lambda df, y, p: auc(df, p, y), "auc", True),
+    "average_precision": (lambda df, y, p: average_precision(df, p, y), "average_precision", True),
     "extraction_f1": (extraction, "f1", True),
 }
 

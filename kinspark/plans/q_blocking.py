@@ -82,6 +82,23 @@ def er_block_ablation(spark, d) -> DataFrame:
     return left.select((F.lit(7) - F.col("combo")).alias("without"), (F.col("all_tp") - F.col("tp")).alias("tp_lost"), (F.col("all_cand") - F.col("candidates")).alias("cand_saved"))
 
 
+def er_block_shootout(spark, d) -> DataFrame:
+    """Three ways to weigh terms, each scored once and read at several K."""
+    from dataclasses import replace
+
+    ks = spark.createDataFrame([(5,), (25,)], "k int")
+    out = None
+    for method, preset in (("word", PRESETS["prod-word"]), ("count", PRESETS["word-count"]), ("char3", PRESETS["prod-char"])):
+        own = blocking.cosine_top_k(b.normalised(spark, d), replace(preset, k=25)).select(F.lit(method).alias("method"), "q", "c", "rn")
+        out = own if out is None else out.unionByName(own)
+    cand = out.join(F.broadcast(ks), F.col("rn") <= F.col("k")).select(F.concat_ws("-", "method", "k").alias("setup"), "q", "c")
+    return blocking.evaluate(cand, b.truth(spark, d), _queries(spark, d), ("setup",))
+
+
+def er_seed_stability(spark, d) -> DataFrame:
+    return blocking.seed_stability(_union(spark, d), b.truth(spark, d), spark.createDataFrame([(i,) for i in range(1, 6)], "seed int"))
+
+
 def er_reachability(spark, d) -> DataFrame:
     """Share of true pairs within reach of a similarity of each signal."""
     records = b.normalised(spark, d).select("entity_id", tokens.padded_trigrams("name_norm").alias("gn"), tokens.padded_trigrams("addr_norm").alias("ga"))
@@ -177,7 +194,7 @@ def er_prune(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        er_block_topk_word, er_block_topk_char3, er_block_word_count, er_block_exact_key, er_block_rare_token, er_block_union, er_block_eval, er_block_sweep, er_signal_union, er_block_ablation, er_reachability,
+        er_block_topk_word, er_block_topk_char3, er_block_word_count, er_block_exact_key, er_block_rare_token, er_block_union, er_block_eval, er_block_sweep, er_signal_union, er_block_ablation, er_block_shootout, er_seed_stability, er_reachability,
         er_rel_windows, er_rel_cross, er_rel_mirror, er_rel_stacked, er_rule_flat, er_rule_rescue, er_rule_rank_aware, er_rule_exclusive, er_contested, er_conflict_resolve, er_cascade_blend, er_submission, er_splice, er_submission_faults, er_prune,
     )
 }
@@ -277,6 +294,11 @@ SELECT q, c, source FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c
     "er_block_sweep": b.with_(b.NORM, b.TRUTH, topk_ctes("wc", 50)) + _eval("SELECT k, q, c FROM wc, (SELECT unnest([1, 5, 10, 25, 50])::INT AS k) ks WHERE rn <= k", "k"),
     "er_signal_union": b.with_(*BASE) + _eval(MASKS, "combo"),
     "er_block_ablation": b.with_(*BASE) + f", e AS ({_eval(MASKS, 'combo')}) SELECT 7 - l.combo AS without, (w.tp - l.tp)::BIGINT AS tp_lost, (w.candidates - l.candidates)::BIGINT AS cand_saved FROM e l, e w WHERE w.combo = 7 AND l.combo IN (3, 5, 6)",
+    "er_block_shootout": b.with_(b.NORM, b.TRUTH, topk_ctes("wd", 25), topk_ctes("ct", 25, binary=True), topk_ctes("ch", 25, CHARS, min_df=3, threshold="0"))
+    + _eval("SELECT m || '-' || k AS setup, q, c FROM (SELECT 'word' AS m, q, c, rn FROM wd UNION ALL SELECT 'count', q, c, rn FROM ct UNION ALL SELECT 'char3', q, c, rn FROM ch), (SELECT unnest([5, 25]) AS k) ks WHERE rn <= k", "setup"),
+    "er_seed_stability": b.with_(*BASE)
+    + UNION
+    + ", h AS (SELECT truth.q, truth.c, cand.c IS NOT NULL AS hit FROM truth LEFT JOIN cand ON cand.q = truth.q AND cand.c = truth.c), e AS (SELECT seed, avg(hit::INT) AS r FROM h, (SELECT unnest(range(1, 6)) AS seed) s WHERE left(md5(seed || '|' || q), 1) < '5' GROUP BY seed) SELECT count(*) AS seeds, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS deviation, round(min(r), 6) AS least, round(max(r), 6) AS most FROM e",
     "er_reachability": b.with_(b.NORM, b.TRUTH)
     + f""", m AS (SELECT {GRAMS.format(x='x.name_norm')} AS gn1, {GRAMS.format(x='y.name_norm')} AS gn2, {GRAMS.format(x='x.addr_norm')} AS ga1, {GRAMS.format(x='y.addr_norm')} AS ga2 FROM truth JOIN norm x ON x.entity_id = q JOIN norm y ON y.entity_id = c),
 j AS (SELECT {b.sql_jaccard('gn1', 'gn2')} AS n, {b.sql_jaccard('ga1', 'ga2')} AS a FROM m)

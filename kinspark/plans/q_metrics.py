@@ -70,6 +70,10 @@ def er_auc(spark, d) -> DataFrame:
     return metrics.auc(_labelled(spark, d), "p", "y", ("source",))
 
 
+def er_average_precision(spark, d) -> DataFrame:
+    return metrics.average_precision(_labelled(spark, d), "p", "y", ("source",))
+
+
 def er_loss_decomposition(spark, d) -> DataFrame:
     return metrics.loss_decomposition(_chosen(spark, d), b.pairs(spark, d).select("q", "c"), b.truth(spark, d), _queries(spark, d))
 
@@ -149,7 +153,7 @@ def dq_feature_auc(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        er_pipeline_macro_f05, er_macro_f05, er_ceiling, er_eval_report, er_threshold_sweep, er_best_threshold, er_break_even, er_labelled_pairs, er_auc, er_loss_decomposition, er_calibration,
+        er_pipeline_macro_f05, er_macro_f05, er_ceiling, er_eval_report, er_threshold_sweep, er_best_threshold, er_break_even, er_labelled_pairs, er_auc, er_average_precision, er_loss_decomposition, er_calibration,
         metric_regression, metric_classification, metric_logloss, metric_extraction_f1, metric_mapk, dq_profile, dq_country_mix, dq_truth_structure, dq_pair_similarity, dq_integrity, dq_script_hist, dq_feature_auc,
     )
 }
@@ -205,6 +209,7 @@ SELECT *, round(macro_f05 / ceiling, 6) AS efficiency, CASE WHEN 1 - ceiling > c
 v AS (SELECT *, {f05()} AS now, {f05('(tp + 1)', '(n_pred + 1)')} AS up, {f05('tp', '(n_pred + 1)')} AS down FROM g) SELECT tp, n_pred, n_true, round(CASE WHEN up - down > 0 THEN (now - down) / (up - down) ELSE 1.0 END, 6) AS confidence FROM v""",
     "er_labelled_pairs": T + LAB + " SELECT q, c, y FROM lab",
     "er_auc": T + LAB + " " + _auc("SELECT source, y, p AS v FROM lab", "source"),
+    "er_average_precision": T + LAB + " SELECT source, round(sum(y * cum / pos::DOUBLE) / sum(y), 6) AS average_precision FROM (SELECT source, y, sum(y) OVER (PARTITION BY source ORDER BY p DESC RANGE UNBOUNDED PRECEDING) AS cum, count(*) OVER (PARTITION BY source ORDER BY p DESC RANGE UNBOUNDED PRECEDING) AS pos FROM lab) GROUP BY source",
     "er_loss_decomposition": T + f", {per_entity(FLAT, 'o')}, {per_entity(CAND, 'k')}, m AS (SELECT avg({f05('o.tp', 'o.n_pred', 'o.n_true')}) AS now, avg({f05('o.tp', 'o.tp', 'o.n_true')}) AS pure, avg({f05('k.tp', 'k.tp', 'o.n_true')}) AS ceiling FROM o JOIN k USING (q)) SELECT round(1 - ceiling, 6) AS blocking_miss, round(ceiling - pure, 6) AS matcher_reject, round(pure - now, 6) AS false_positive FROM m",
     "er_calibration": T + LAB + " SELECT least(floor(p / 0.1), 9)::INT AS band, count(*) AS n, round(avg(y), 6) AS share_true FROM lab GROUP BY 1",
     "metric_regression": f"""SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg(pow(ln(1 + greatest(p, 0)) - ln(1 + y), 2))), 6) AS rmsle, round(avg(CASE WHEN abs(y) > 1e-9 THEN abs((y - p) / y) END) * 100, 6) AS mape,
