@@ -42,10 +42,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     This cuts lineage and survives lost executors, since the files are in a folder they share.
     """
+    return written(df, label)[0]
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As :func:`materialize`, with the folder, so that loops can drop what the next round has replaced."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

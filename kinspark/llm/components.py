@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm._common import materialize
+from kinspark.llm._common import drop_folder, written
 
 MOST_ROUNDS = 60
 
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now = materialize(now, "edges")
+    now, folder = written(now, "edges")
     before = None
     for _ in range(MOST_ROUNDS):
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -32,7 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now, newer = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_folder(edges.sparkSession, folder)
+        folder = newer
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
