@@ -161,7 +161,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_co
     named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(KEY).alias("key")).alias("doc_id"), F.col(text_col).alias("text"))
     found = near_duplicates(named, words, radius).select(F.col("doc_id.key").alias(KEY), (F.col("doc_id") != F.col("component_id")).alias("later"))
     judged = materialize(found.groupBy(KEY).agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("n")).where("later or n > 1"), "dropped")
-    kept = keyed.join(judged.select(KEY), KEY, "left_anti").select(*docs.columns)
+    kept = keyed.join(judged.select(KEY).hint("merge"), KEY, "left_anti").select(*docs.columns)  # one plan at every size
     equal = judged.where("not later").select(KEY)
     if equal.isEmpty():
         return kept
