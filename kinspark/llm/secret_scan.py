@@ -116,10 +116,12 @@ def scan_digests(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "<secret>", widely: int = WIDELY_COPIED, text_col: str = "text", owner_col: str = "source", repo_col: str = "source") -> DataFrame:
     """The rows with every live-looking span of the text replaced; widely copied examples and all else stay.
 
-    Overlapping spans are replaced as one. A null text stays null.
+    Overlapping spans are replaced as one. A null text stays null. Only rows with spans are written and joined
+    with the verdicts; all others pass through as they are.
     """
     kept = {c: f"_keep{i}" for i, c in enumerate(docs.columns)}
-    found = _scan(docs, kept, text_col, repo_col, owner_col, widely)
+    has_spans = F.size(all_spans(text_or_empty(text_col))) > 0
+    found = _scan(docs.where(has_spans), kept, text_col, repo_col, owner_col, widely)
     body = F.col(kept[text_col])
     live = F.filter("_spans", lambda s: s["live"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -130,4 +132,5 @@ def redact(docs: DataFrame, mask: str = "<secret>", widely: int = WIDELY_COPIED,
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(overlaps, acc["out"]).otherwise(F.concat(acc["out"], plain, F.lit(mask))).alias("out"))
 
     done = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return found.select(*(F.when(F.size(live) > 0, done).otherwise(body).alias(c) if c == text_col else F.col(name).alias(c) for c, name in kept.items()))
+    masked = found.select(*(F.when(F.size(live) > 0, done).otherwise(body).alias(c) if c == text_col else F.col(name).alias(c) for c, name in kept.items()))
+    return docs.where(~has_spans).select(*docs.columns).union(masked)
