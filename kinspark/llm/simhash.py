@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     roots = linked.groupBy("root").agg(F.min("least").alias("component"), (F.count(F.lit(1)) - 1).alias("others"))
     known = groups.join(roots, "root").select(F.col("node").alias("fp"), "component", "others")
     labels = nodes.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("others", F.lit(0)).alias("n_linked"))
+    labels = materialize(labels, "labels")  # so that both sides of the join below are shuffled for it and a frequent fingerprint can be split
     return own.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_linked")
 
 
