@@ -158,7 +158,7 @@ def own_lines(lines: list[str], neighbours: list[list[str]]) -> list[str]:
 PARSED = "page_id {kind}, url string, host string, path string, text string, lines array<string>"
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = 4096) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = 512) -> DataFrame:
     """Per page ``page_id, url, text, n_chars``.
 
     One pass over the html writes texts and lines; only lines outside marked articles are dealt out by host
