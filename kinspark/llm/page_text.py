@@ -20,8 +20,9 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinspark.llm._common import materialize
 from kinspark.llm.url_filter import host_of, path_of
@@ -161,10 +162,11 @@ PARSED = "page_id {kind}, url string, host string, path string, text string, lin
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = 512) -> DataFrame:
     """Per page ``page_id, url, text, n_chars``.
 
-    One pass over the html writes texts and lines; only lines outside marked articles are dealt out by host
-    for the pairing. A host with more than ``group`` pages and over a thousandth of all is cut into blocks
-    of that size by a hash of the path; there are at most a thousand such hosts, which bounds the table
-    that is broadcast to do so. A block streams through its task in path order, three pages at a time.
+    One pass over the html writes texts and lines. Lines outside marked articles are sorted into contiguous
+    ranges of (host, path, url, page_id), about ``group`` pages each and at most as many as shuffles have
+    partitions, so that a large host spreads over tasks. A range streams through its task, three pages at a
+    time; its first and last page are finished after it, with the page beyond the cut. Neighbours are so the
+    same however many ranges there are.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -180,12 +182,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), path_of(url_col).alias("path"), F.col(html_col).alias("html"))
     parsed = materialize(read.mapInArrow(parse, PARSED.format(kind=kind)), "parsed-pages")
-    most = max(group, parsed.count() // 1000)
-    hot = parsed.groupBy("host").count().where(F.col("count") > most).select("host", F.ceil(F.col("count") / most).alias("blocks"))
-    block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("path"), F.col("blocks")))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parsed.join(F.broadcast(hot), "host", "left").select("host", block.alias("block"), "path", "url", "page_id", F.col("text").isNull().alias("wanted"), "lines")
-    dealt = dealt.repartition(parts, "host", "block").sortWithinPartitions("host", "block", "path", "url", "page_id")
+    parts = max(1, min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parsed.count() // group)))
+    dealt = parsed.select("host", "path", "url", "page_id", F.col("text").isNull().alias("wanted"), "lines").repartitionByRange(parts, "host", "path", "url", "page_id")
+    dealt = dealt.sortWithinPartitions("host", "path", "url", "page_id").withColumn("part", F.spark_partition_id())
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -197,15 +196,34 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         before = now = None
         out: list[tuple] = []
         for after in rows():
-            if now is not None and now[5]:
-                near = [x for x in (before, after) if x is not None and x[:2] == now[:2] and now[0]]
-                out.append((now[4], now[3], " ".join(own_lines(now[6], [x[6] for x in near]))))
+            if now is not None:
+                host, _, url, page_id, wanted, lines, part = now
+                near = [x[5] for x in (before, after) if x is not None and x[0] == host and host]
+                if before is None or after is None:
+                    out.append((page_id, url, None, part, before is None, after is None, host, wanted, lines, near))
+                elif wanted:
+                    out.append((page_id, url, " ".join(own_lines(lines, near)), *[None] * 7))
             before, now = now, after
             if len(out) >= 500 or now is None and out:
-                ids, urls, texts = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 out = []
 
-    paired = dealt.mapInArrow(pair, f"page_id {kind}, url string, text string")
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                beyond = [r[k]["lines"] for k in ("earlier", "later") if r[k] is not None and r[k]["host"] == r["host"] and r["host"]]
+                out.append((r["page_id"], r["url"], " ".join(own_lines(r["lines"], r["near"] + beyond))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds[:3], strict=True)], names=names[:3])
+
+    shape = f"page_id {kind}, url string, text string"
+    names = ["page_id", "url", "text", "part", "opens", "ends", "host", "wanted", "lines", "near"]
+    kinds = [to_arrow_type(pages.schema[id_col].dataType), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string()))]
+    paired = materialize(dealt.mapInArrow(pair, f"{shape}, part int, opens boolean, ends boolean, host string, wanted boolean, lines array<string>, near array<array<string>>"), "paired-pages")
+    order = Window.orderBy("part", F.col("ends").cast("int"))  # two pages a range: few rows, whatever the table
+    page = F.struct("host", "lines")
+    edges = paired.where("part is not null").select("*", F.when(F.col("opens"), F.lag(page).over(order)).alias("earlier"), F.when(F.col("ends"), F.lead(page).over(order)).alias("later"))
+    paired = paired.where("part is null").select("page_id", "url", "text").unionByName(edges.where("wanted").select("page_id", "url", "host", "lines", "near", "earlier", "later").mapInArrow(finish, shape))
     found = parsed.where("text is not null").select("page_id", "url", "text").unionByName(paired)
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -153,6 +153,16 @@ def test_pages(spark):
     assert page_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_pages_of_a_large_host_keep_their_neighbours(spark):
+    """Lines that only pages of adjacent paths share go, however many ranges the host is cut into."""
+    page = "<div>Series {0} of the site</div><p>Own text number {1} with several words of its own {2}</p>"
+    rows = [(i, f"http://h.com/s{i // 2:02}/{i % 2}", page.format(i // 2, i, i * 7)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for group in (1, 2, 7, 1000):
+        got = {r["page_id"]: r["text"] for r in page_text.extract_text(pages, group=group).collect()}
+        assert got == {i: f"Own text number {i} with several words of its own {i * 7}" for i in range(60)}, group
+
+
 def test_urls(spark):
     urls = ["http://a.example.com/en/1", "https://www.example.com/en/x?y", "http://X.NET/es/", "http://x.net/en/", "http://com", "http://q.org/a", None, "nourl", "ftp://h.org#f"]
     rows = [(i, u, f'<a href="http://bad.net/">x</a><A HREF=//Q.org/z>' if i == 5 else None) for i, u in enumerate(urls)] + [(20, "http://bad.net/es/1", ""), (21, "http://bad.net/es/2", '<a href="http://q.org">')]
