@@ -5,7 +5,8 @@ Numbers, names within sentences and units become typed placeholders. Documents a
 windows: a copy of an item of at least 2 * TILE - 1 words holds a whole tile wherever it starts. Tiles of
 one copy lie on one diagonal (tile place less window place), so counting them there gives the share of the
 item that is covered; and the slot values met in matching placeholders must map one value to one value,
-which re-parameterised questions do and chance matches don't.
+which re-parameterised questions do and chance matches don't. Each diagonal is tested alone, then with tiles
+of near ones, as words may have been put in or left out; an item matches where any of these passes.
 
 Cases: null, empty and short texts have no tiles; items too short for tiles are compared as a whole at every
 offset; repeated rows with one id are one document; ties don't matter, as every covered pair is returned;
@@ -89,6 +90,33 @@ def document_windows(text: Column, size: int, step: int) -> Column:
     return bind(marked_words(text), lambda w: F.when(has_marks(w), windows(w, size, step)).otherwise(_plain_windows(w, size, step)))
 
 
+def consistent(pairs: Column) -> Column:
+    """Whether each item value of the distinct ``pairs`` (i, s) meets one value only."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(pairs)
+
+
+def alignments(diagonals: Column, size: Column) -> Column:
+    """Structs (n, whole, d, pairs) of each of ``diagonals`` (d, hits) alone, and with the tiles of those at most DRIFT away.
+
+    For the latter, tiles are taken from the nearest diagonal outwards; one that overlaps a taken one in the
+    document or in the item, or comes in another order, isn't.
+    """
+
+    def alone(x: Column) -> Column:
+        return F.struct(F.size(F.array_distinct(x["hits"]["o"])).cast("long").alias("n"), F.lit(1).alias("whole"), (-x["d"]).alias("d"), F.array_distinct(F.flatten(x["hits"]["pairs"])).alias("pairs"))
+
+    def chained(x: Column) -> Column:
+        near = F.filter(diagonals, lambda y: F.abs(y["d"] - x["d"]) <= DRIFT)
+        tiles = F.array_sort(F.flatten(F.transform(near, lambda y: F.transform(y["hits"], lambda h: F.struct(F.abs(y["d"] - x["d"]).alias("far"), (y["d"] + h["o"]).alias("at"), h["o"].alias("o"), h["pairs"].alias("pairs"))))))
+        none = F.filter(tiles, lambda _: F.lit(False))
+        apart = lambda a, t: ((a["at"] - t["at"] >= size) & (a["o"] - t["o"] >= size)) | ((t["at"] - a["at"] >= size) & (t["o"] - a["o"] >= size))
+        taken = F.aggregate(tiles, none, lambda acc, t: F.when(F.forall(acc, lambda a: apart(a, t)), F.concat(acc, F.array(t))).otherwise(acc))
+        return bind(taken, lambda c: F.struct(F.size(c).cast("long").alias("n"), F.lit(0).alias("whole"), (-x["d"]).alias("d"), F.array_distinct(F.flatten(c["pairs"])).alias("pairs")))
+
+    drifted = F.filter(diagonals, lambda x: F.exists(diagonals, lambda y: (y["d"] != x["d"]) & (F.abs(y["d"] - x["d"]) <= DRIFT)))
+    return F.concat(F.transform(diagonals, alone), F.transform(drifted, chained))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cover: float = LEAST_COVER) -> DataFrame:
     """``doc_id, item_id, n_windows, cover, n_slots, n_changed`` of every document and item that match.
 
@@ -112,18 +140,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for more in hits[1:]:
         hit = hit.union(more)
     key = ["doc_id", "item_id", "length", "size"]
-    tile_rows = hit.groupBy(*key, "d").agg(F.count_distinct("o").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    by_pair = tile_rows.groupBy(*key).agg(F.collect_list(F.struct("d", "n", "pairs")).alias("all"))
-    near = lambda a, x: F.filter(a, lambda y: F.abs(y["d"] - x["d"]) <= DRIFT)
-    sums = F.transform("all", lambda x: F.struct(F.aggregate(near(F.col("all"), x), F.lit(0).cast("long"), lambda acc, y: acc + y["n"]).alias("n"), x["d"].alias("d"), F.array_distinct(F.flatten(F.transform(near(F.col("all"), x), lambda y: y["pairs"]))).alias("pairs")))
-    best = by_pair.select(*key, F.array_max(F.transform(sums, lambda x: F.struct(x["n"].alias("n"), (-x["d"]).alias("d"), x["pairs"].alias("pairs")))).alias("b"))
-    pairs = F.col("b.pairs")
-    consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(pairs)
-    cover = F.least(F.lit(1.0), F.col("b.n") * F.col("size") / F.col("length"))
+    by_diagonal = hit.groupBy(*key, "d").agg(F.collect_set(F.struct("o", "pairs")).alias("hits"))
+    by_pair = by_diagonal.groupBy(*key).agg(F.collect_list(F.struct("d", "hits")).alias("all"))
     least = F.when(F.col("length") >= 4 * TILE - 1, 2).otherwise(1)
-    return best.where(consistent & (cover >= least_cover) & (F.col("b.n") >= least)).select(
-        "doc_id", "item_id", F.col("b.n").alias("n_windows"), F.round(cover, 4).alias("cover"), F.size(pairs).alias("n_slots"), F.size(F.filter(pairs, lambda p: p["i"] != p["s"])).alias("n_changed")
-    )
+    cover = lambda x: F.least(F.lit(1.0), x["n"] * F.col("size") / F.col("length"))
+    passes = lambda x: consistent(x["pairs"]) & (cover(x) >= least_cover) & (x["n"] >= least)
+    found = by_pair.select(*key, F.filter(alignments(F.col("all"), F.col("size")), passes).alias("found")).where(F.size("found") > 0)
+    best = found.select(*key, F.array_max("found").alias("b"))
+    pairs = F.col("b.pairs")
+    return best.select("doc_id", "item_id", F.col("b.n").alias("n_windows"), F.round(cover(F.col("b")), 4).alias("cover"), F.size(pairs).alias("n_slots"), F.size(F.filter(pairs, lambda p: p["i"] != p["s"])).alias("n_changed"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -54,6 +54,24 @@ def test_leaks_and_changed_questions(spark):
     assert decontaminate.find_leaks(d, empty).count() == 0 and decontaminate.find_leaks(d.limit(0), bench).count() == 0
 
 
+def test_copies_of_items_with_repeated_clauses(spark):
+    """Exact, changed and drifted copies are found wherever they start; values that don't map one to one are not."""
+    items = ["A player scored 12 points, 15 points, 18 points and 21 points in four games and then went home to rest", "add 2 cups add 3 cups add 4 cups of sugar and stir the bowl well until smooth"]
+    changed = items[0].replace("12", "31").replace("15", "32").replace("18", "33").replace("21", "34")
+    longer = items[0].replace("and then", "and only then")
+    mixed = "yesterday we all heard that he paid 12 dollars for the old red lamp and that 5 dollars more were asked so that 99 dollars were gone from the purse"
+    clean = "x y z w".split()
+    docs, want = [], set()
+    for k in range(4):
+        for i, text in enumerate((*items, changed, longer)):
+            docs.append((10 * k + i, " ".join([*clean[:k], text, "the end of it"])))
+            want.add((10 * k + i, 71 if i == 1 else 70))
+        docs.append((10 * k + 9, " ".join([*clean[:k], mixed])))
+    bench = spark.createDataFrame([(70, items[0]), (71, items[1]), (72, mixed.replace("99", "12"))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
 def test_leaks_by_brute_force(spark):
     """Every item placed anywhere is found; texts without one aren't reported."""
     import random
