@@ -6,7 +6,8 @@ windows: a copy of an item of at least 2 * TILE - 1 words holds a whole tile whe
 one copy lie on one diagonal (tile place less window place), so counting them there gives the share of the
 item that is covered; and the slot values met in matching placeholders must map one value to one value,
 which re-parameterised questions do and chance matches don't. Each diagonal is tested alone, then with tiles
-of near ones, as words may have been put in or left out; an item matches where any of these passes.
+of near ones, as words may have been put in or left out; an item matches where any of these passes. For
+items of under 4 * TILE - 1 words a tile is only a hint: they are compared word by word along its diagonal.
 
 Cases: null, empty and short texts have no tiles; items too short for tiles are compared as a whole at every
 offset; repeated rows with one id are one document; ties don't matter, as every covered pair is returned;
@@ -27,6 +28,8 @@ TILE = 4
 MARK = "\u0001"
 UNITS = ("kg", "mg", "g", "km", "cm", "mm", "m", "miles", "mile", "feet", "ft", "inches", "inch", "litres", "liters", "ml", "l", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "years", "year", "dollars", "euros", "cents", "percent", "degrees", "mph", "kwh", "kw", "hz")
 LEAST_COVER, DRIFT = 0.4, 3
+#: Items too short for two tiles at every offset need this share of their words.
+SHORT, SHORT_COVER = 4 * TILE - 1, 0.8
 MOST_BROADCAST = 2_000_000
 #: A column of this name is only used within.
 KEY = "_kinspark_key"
@@ -117,6 +120,34 @@ def alignments(diagonals: Column, size: Column) -> Column:
     return F.concat(F.transform(diagonals, alone), F.transform(drifted, chained))
 
 
+def whole_items(hints: DataFrame, items: DataFrame, texts: DataFrame, least_cover: float) -> DataFrame:
+    """``doc_id, item_id, b (n, pairs), cover`` of short items of which the words along a hinted diagonal cover enough.
+
+    ``hints``: a row (doc_id, item_id, length, d, hits) for each diagonal with a tile. The item's words before
+    a cut are compared on one diagonal and those after it on another, at most DRIFT away, so that words may
+    be put in or left out at one place. Only documents with a hint are cut into words again.
+    """
+    asked = hints.join(items.select(F.col("item_id").alias("item"), F.col("length").alias("n_words"), "w"), F.col("item_id").eqNullSafe(F.col("item")) & (F.col("length") == F.col("n_words")))
+    asked = asked.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("item_id", "length", "w", "d", F.size("hits").cast("long").alias("n"))).alias("asked"))
+    read = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("doc_id", "asked", marked_words(F.col("text")).alias("words"))
+    near = read.select("doc_id", "words", F.explode("asked").alias("a")).select("doc_id", "a.*", F.transform(F.sequence(F.col("a.d") - DRIFT, F.col("a.d") + F.col("a.length") + DRIFT - 1), lambda k: F.when(k >= 0, F.get("words", F.when(k >= 0, k).otherwise(0)))).alias("near"))
+    form = lambda x: F.when(x.startswith(MARK), F.substring(x, 1, 2)).otherwise(x)
+    pair = lambda j, shift: F.struct(F.get("w", j).alias("i"), F.coalesce(F.get("near", j + shift + DRIFT), F.lit("")).alias("s"))
+    places = F.sequence(F.lit(0), F.col("length") - 1)
+
+    def cut_at(s: Column, first: Column, second: Column) -> Column:
+        use = F.filter(places, lambda j: (j < s) | (j >= s + F.greatest(F.lit(0), first - second)))
+        return F.filter(F.transform(use, lambda j: F.when(j < s, pair(j, first)).otherwise(pair(j, second))), lambda p: form(p["i"]) == form(p["s"]))
+
+    shifts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for d in range(-DRIFT, DRIFT + 1) for a, b in {(0, d), (d, 0)}))
+    cuts = F.flatten(F.transform(shifts, lambda x: F.transform(F.sequence(F.lit(0), F.col("length")), lambda s: cut_at(s, x["a"], x["b"]))))
+    slot_pairs = lambda m: F.array_distinct(F.transform(F.filter(m, lambda p: p["i"].startswith(MARK)), lambda p: F.struct(F.substring(p["i"], 2, 1 << 20).alias("i"), F.substring(p["s"], 2, 1 << 20).alias("s"))))
+    share = lambda m: F.size(m) / F.col("length")
+    made = F.transform(F.filter(cuts, lambda m: share(m) >= least_cover), lambda m: F.struct(share(m).alias("cover"), F.col("n").alias("n"), slot_pairs(m).alias("pairs")))
+    found = near.select("doc_id", "item_id", "length", F.array_max(F.filter(made, lambda x: consistent(x["pairs"]))).alias("f")).where("f is not null")
+    return found.groupBy("doc_id", "item_id", "length").agg(F.max("f").alias("f")).select("doc_id", "item_id", F.struct("f.n", "f.pairs").alias("b"), "f.cover")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cover: float = LEAST_COVER) -> DataFrame:
     """``doc_id, item_id, n_windows, cover, n_slots, n_changed`` of every document and item that match.
 
@@ -141,14 +172,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         hit = hit.union(more)
     key = ["doc_id", "item_id", "length", "size"]
     by_diagonal = hit.groupBy(*key, "d").agg(F.collect_set(F.struct("o", "pairs")).alias("hits"))
-    by_pair = by_diagonal.groupBy(*key).agg(F.collect_list(F.struct("d", "hits")).alias("all"))
-    least = F.when(F.col("length") >= 4 * TILE - 1, 2).otherwise(1)
+    hinted = F.col("length").between(2 * TILE - 1, SHORT - 1)
+    by_word = items.where(hinted).limit(1).count() > 0
+    if by_word:
+        by_diagonal = materialize(by_diagonal, "diagonals")
+    by_pair = by_diagonal.where(~hinted).groupBy(*key).agg(F.collect_list(F.struct("d", "hits")).alias("all"))
+    least = F.when(F.col("length") >= SHORT, 2).otherwise(1)
     cover = lambda x: F.least(F.lit(1.0), x["n"] * F.col("size") / F.col("length"))
     passes = lambda x: consistent(x["pairs"]) & (cover(x) >= least_cover) & (x["n"] >= least)
     found = by_pair.select(*key, F.filter(alignments(F.col("all"), F.col("size")), passes).alias("found")).where(F.size("found") > 0)
-    best = found.select(*key, F.array_max("found").alias("b"))
+    best = found.select(*key, F.array_max("found").alias("b")).select("doc_id", "item_id", F.struct("b.n", "b.pairs").alias("b"), cover(F.col("b")).alias("cover"))
+    if by_word:
+        texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+        best = best.unionByName(whole_items(by_diagonal.where(hinted), items.where(hinted), texts, max(least_cover, SHORT_COVER)))
     pairs = F.col("b.pairs")
-    return best.select("doc_id", "item_id", F.col("b.n").alias("n_windows"), F.round(cover(F.col("b")), 4).alias("cover"), F.size(pairs).alias("n_slots"), F.size(F.filter(pairs, lambda p: p["i"] != p["s"])).alias("n_changed"))
+    return best.select("doc_id", "item_id", F.col("b.n").alias("n_windows"), F.round("cover", 4).alias("cover"), F.size(pairs).alias("n_slots"), F.size(F.filter(pairs, lambda p: p["i"] != p["s"])).alias("n_changed"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

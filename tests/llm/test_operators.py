@@ -72,6 +72,22 @@ def test_copies_of_items_with_repeated_clauses(spark):
     assert got == want
 
 
+def test_phrases_of_short_items_are_no_leaks(spark):
+    """A short item is reported where nearly all of its words are met, at every offset; four of them are no leak."""
+    items = ["what is the capital of the old kingdom", "he ran 5 miles and then 5 miles before noon today"]
+    docs, want = [], set()
+    for k in range(4):
+        start = "x y z w".split()[:k]
+        texts = [items[0], "what is the capital of this firm and who owns it", items[1], items[1].replace("5", "6"), "he ran 5 miles and then 7 miles before noon today", "what is the capital of the very old kingdom", "he ran 5 miles and then we slept"]
+        for i, text in enumerate(texts):
+            docs.append((10 * k + i, " ".join([*start, text, "and so on it goes"])))
+        want |= {(10 * k, 70), (10 * k + 2, 71), (10 * k + 3, 71)} | ({(10 * k + 5, 70)} if k != 1 else set())  # at 1 no tile is whole
+    docs.append((None, items[0]))
+    bench = spark.createDataFrame(list(zip((70, 71), items, strict=True)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want | {(None, 70)}
+
+
 def test_leaks_by_brute_force(spark):
     """Every item placed anywhere is found; texts without one aren't reported."""
     import random
