@@ -22,6 +22,7 @@ from kinspark.llm._common import materialize
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+MOST_ROUNDS = 1000
 LINK = r"(?i)\shref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
 
@@ -53,26 +54,31 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most_rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most_rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank ``host, rank`` from ``seeds`` (host, weight summing to 1) over ``edges`` (src, dst, n).
 
     Mass that reaches a host without links out goes back to the seeds. Each round is written to the shared
-    folder; the loop ends when ranks move less than ``tolerance`` in all.
+    folder; the loop ends when ranks move less than ``tolerance`` in all and the last round reached no further
+    host, or, where ``most_rounds`` is given, after so many. Else MOST_ROUNDS without an end are an error.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
     seeds = materialize(seeds.select("host", "weight"), "seeds")
     rank = seeds.select("host", F.col("weight").alias("rank"))
-    for _ in range(most_rounds):
+    reached = seeds.count()
+    for _ in range(MOST_ROUNDS if most_rounds is None else most_rounds):
         moved = materialize(shares.join(rank, shares["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got")), "moved")
         flowed = moved.agg(F.sum("got")).first()[0] or 0.0
         jump = seeds.select("host", (F.col("weight") * (1 - damping * flowed)).alias("rank"))
         step = moved.select(F.col("dst").alias("host"), (F.col("got") * damping).alias("rank")).unionByName(jump).groupBy("host").agg(F.sum("rank").alias("rank"))
         step = materialize(step, "ranks")
         change = step.alias("a").join(rank.alias("b"), "host", "full").agg(F.sum(F.abs(F.coalesce("a.rank", F.lit(0.0)) - F.coalesce("b.rank", F.lit(0.0))))).first()[0]
-        rank = step
-        if change is None or change < tolerance:
+        rank, before, reached = step, reached, step.count()
+        if change is None or change < tolerance and before == reached:
             break
+    else:
+        if most_rounds is None:
+            raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
     return rank
 
 

@@ -225,6 +225,14 @@ def test_page_rank_by_brute_force(spark):
     assert got == pytest.approx(rank, abs=1e-9) and sum(got.values()) == pytest.approx(1)
 
 
+def test_ranks_reach_far_hosts(spark):
+    """A host 24 links from the seed has a rank, and the ranks have settled."""
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(24)], "src string, dst string, n long").coalesce(1)
+    got = {r["host"]: r["rank"] for r in url_filter.propagate(edges, spark.createDataFrame([("h0", 1.0)], "host string, weight double"), tolerance=1e-3).collect()}
+    whole = sum(0.85**i for i in range(25))
+    assert got == pytest.approx({f"h{i}": 0.85**i / whole for i in range(25)}, abs=1e-3)
+
+
 def test_labels_and_languages_on_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 1), (None, 1, 1), (3, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
     got = toxicity.judge_documents(odd_docs, labels).collect()
