@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kinspark.llm._common import BoundedCache, materialize, text_or_empty
 
 #: Rows of each class that voters and classifier are fitted on.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 3000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8, 9)
 MOST_UNITS = 400

@@ -243,6 +243,10 @@ def test_labels_and_languages_on_odd_rows(spark, odd_docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
 
 
+def test_toxicity_sample_is_that_of_the_published_recall():
+    assert toxicity.SAMPLE_ROWS == 3000
+
+
 def test_pipeline_stages_keep_columns(spark, odd_docs, no_docs, tmp_path):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
