@@ -153,6 +153,27 @@ def test_read_lines():
     page_text.read_lines("<" * 5000 + "<a href='" + "x" * 1000)
 
 
+def test_comments_and_names_of_elements():
+    page = (
+        "<main class='news with-sidebar'><article class='post'><p>Body</p><article class='comment'><p>reader says hi</p></article>"
+        "<article><p>nested, so a reader's</p></article><p class=market>End</p></article><article class=userComment>x</article></main>"
+        "<div class='advert1'>a</div><div class='topbar-menu2'>b</div><div class='siteNav'>c</div><div class='has-sidebar'>kept</div>"
+    )
+    assert page_text.read_lines(page) == (["Body", "End"], ["kept"], True)
+    assert page_text.read_lines("<p data=it's>one</p><p title=\"a>b\">two</p>")[1] == ["one", "two"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<a " * 300_000, '<a x=">" ' * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<p>same</p>" * 20_000, "<!--" * 200_000, "<" * 500_000):
+        page_text.read_page(page)
+    same, other = ["same"] * 3000 + ["x"] * 10, ["y"] + ["same"] * 3000 + ["z"]
+    assert len(page_text.shared_lines(same, other)) == 3000
+    assert time.process_time() - began < 10
+
+
 def test_forward_backward_over_segments():
     rng = np.random.default_rng(0)
     t = rng.random((3, 3)).astype(np.float32) + 0.1

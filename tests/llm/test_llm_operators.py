@@ -197,6 +197,50 @@ def test_pages_of_a_large_host_keep_their_neighbours(spark):
         assert got == {i: f"Own text number {i} with several words of its own {i * 7}" for i in range(60)}, group
 
 
+def test_pages_by_brute_force(spark):
+    """Random pages of a few hosts, marked and unmarked, against one sorted list and a plain alignment."""
+    import random
+
+    rng = random.Random(11)
+    shared = [f"Line {i} of the site" for i in range(4)]
+    rows = []
+    for i in range(120):
+        own = [f"Own {rng.randint(0, 40)} words {rng.randint(0, 40)}" for _ in range(rng.randint(0, 5))]
+        lines = rng.sample(shared, rng.randint(0, 4)) + own
+        rng.shuffle(lines)
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        html = rng.choice([body, body, f"<div>Beside</div><article>{body}</article>", None])
+        url = rng.choice([f"http://h{rng.randint(0, 2)}.com/{rng.choice('abc')}/{rng.randint(0, 9)}?q={i}", None])
+        rows.append((rng.choice([i, None]), url, html))
+    rows += rows[:5]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keyed = pages.select(url_filter.host_of("url").alias("host"), url_filter.path_of("url").alias("path"), "url", "page_id", F.xxhash64("html").alias("digest"), "html").collect()
+    keyed.sort(key=lambda r: tuple((x is not None, x) for x in r[:5]))
+    want = []
+    for at, r in enumerate(keyed):
+        lines, inside = page_text.read_page(r["html"])
+        gone = set()
+        for other in keyed[max(0, at - 1) : at] + keyed[at + 1 : at + 2]:
+            if other["host"] == r["host"] != "":
+                near = page_text.read_page(other["html"])[0]
+                common = page_text.shared_lines(lines, near)
+                assert len(common) == _plain_lcs(lines, near)
+                gone |= common if sum(len(lines[i]) for i in common) <= 0.8 * sum(map(len, lines)) else set()
+        want.append((r["page_id"], r["url"], " ".join(x for i, x in enumerate(lines) if (inside[i] if any(inside) else i not in gone)), len(gone)))
+    for group in (1, 3, 50, 1000):
+        got = [(r["page_id"], r["url"], r["text"], r["n_shared"]) for r in page_text.extract_text(pages.repartition(3), group=group).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr), group
+
+
+def _plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def test_urls(spark):
     urls = ["http://a.example.com/en/1", "https://www.example.com/en/x?y", "http://X.NET/es/", "http://x.net/en/", "http://com", "http://q.org/a", None, "nourl", "ftp://h.org#f"]
     rows = [(i, u, f'<a href="http://bad.net/">x</a><A HREF=//Q.org/z>' if i == 5 else None) for i, u in enumerate(urls)] + [(20, "http://bad.net/es/1", ""), (21, "http://bad.net/es/2", '<a href="http://q.org">')]
