@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +20,66 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def in_blocks(rows: Column) -> Column:
+    """An array cut into about as many arrays as each of them has members."""
+
+    def cut(r: Column) -> Column:
+        each = F.ceil(F.sqrt(F.size(r))).cast("int")
+        return F.when(F.size(r) > 0, F.transform(F.sequence(F.lit(1), F.size(r), F.greatest(each, F.lit(1))), lambda i: F.slice(r, i, each)))
+
+    return bind(rows, cut)
+
+
+def running(rows: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Struct (state, out) after all of ``rows``, in order: ``step(state, row)`` gives the next state, whether to add to out, and what.
+
+    ``kind`` is the type of out's members. Rows are taken in blocks of the root of their number, so that
+    what has been added is copied once a block and not once a row.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def each(acc: Column, row: Column) -> Column:
+        after, adds, what = step(acc["state"], row)
+        return F.struct(after.alias("state"), F.when(adds, F.concat(acc["out"], F.array(what))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(acc["state"].alias("state"), none.alias("out")), each)
+        return bind(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], d["out"]).alias("out")))
+
+    blocks = in_blocks(rows)
+    start = F.struct(state.alias("state"), none.alias("out"))
+    return F.coalesce(F.aggregate(blocks, start, block), start)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(columns: Iterable[str]) -> Column:
+    """128 bits over the given columns, by which rows are told apart; nulls differ from every text."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in columns]
+    halves = (F.xxhash64(*texts), F.xxhash64(F.lit("second half"), *texts))
+    return F.concat(*(F.unhex(F.lpad(F.hex(h), 16, "0")) for h in halves))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) is a local folder chosen and set.
+    Only where a session on one machine has none (tests) is a local folder chosen and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kinspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -9,9 +9,11 @@ language is the one with the largest mean.
 Forward-backward runs over segments of fixed length side by side. The product of each segment's transfer
 matrices carries messages across segments, so that the result is that of one pass over the whole text.
 
-Cases: a text that is null or has no letter is ``und`` with score 0; equal texts have equal results up to
-rounding; words longer than WORD_LETTERS letters count as several; without labelled rows everything is
-``und``; repeated rows stay; an empty table gives an empty result; only the named columns are read.
+Cases: a text that is null or has no letter (Unicode category L) is ``und`` with score 0; equal texts have equal results up to
+rounding; words longer than WORD_LETTERS letters count as several; very long texts are predicted whole, in
+segments; of equal shares the first language in order is taken; without labelled rows everything is ``und``;
+repeated rows stay, and rows of one doc_id and language are one in the training sample; an empty table gives
+an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm._common import text_or_empty
+from kinspark.llm._common import materialize, text_or_empty
 from kinspark.llm.bpe import in_groups
 
-#: Bound of the training sample: documents of each language, and words in all.
+#: Bound of the training sample: documents of each language, runs of MEAN_RUN words of each, and words in all.
 SAMPLE_DOCS = 400
+SAMPLE_RUNS = 16
 SAMPLE_WORDS = 120_000
+SALTS = 64
 BUCKETS = 1 << 16
 WORD_LETTERS = 30
 SEGMENT = 64
@@ -44,6 +48,8 @@ ROUNDS, RATE, L2 = 40, 0.15, 1e-4
 def word_parts(token: str) -> list[str]:
     """The token's letters in lower case, cut where there are too many."""
     letters = NO_LETTER.sub("", token.lower())
+    if not letters.isalpha():  # signs such as a half or a circled one are word characters, but no letters
+        letters = "".join(filter(str.isalpha, letters))
     return [letters[i : i + WORD_LETTERS] for i in range(0, len(letters), WORD_LETTERS)]
 
 
@@ -165,6 +171,46 @@ def chain_sums(index: np.ndarray, lengths: np.ndarray, potentials: np.ndarray, t
     return np.add.reduceat((marginals * there[:, :, None]).sum(1, dtype=np.float64), first, axis=0)
 
 
+def slopes(scores: np.ndarray, tr: np.ndarray, index: np.ndarray, there: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of labelled sequences, and its slopes by word potential and by transition.
+
+    ``scores``: log potentials (words, languages); ``tr``: log transitions; ``index``, ``there``, ``gold``
+    (sequences, steps): the word, whether there is one, its language. Padding comes last in a sequence. Before
+    the first word every language is as likely.
+    """
+    size, steps = scores.shape[1], index.shape[1]
+    e = np.exp(scores - scores.max(1, keepdims=True))[index]
+    e[~there] = 1
+    t = np.exp(tr - tr.max())
+    uniform = np.full((len(index), size), 1 / size)
+    forward, alpha, log_z = np.empty_like(e), uniform, 0.0
+    for s in range(steps):
+        step = (alpha @ t) * e[:, s]
+        total = step.sum(1)
+        log_z += np.log(total[there[:, s]]).sum()
+        alpha = np.where(there[:, s, None], step / total[:, None], alpha)
+        forward[:, s] = alpha
+    onehot = np.eye(size)[gold] * there[:, :, None]
+    pair_there = there[:, 1:] & there[:, :-1]
+    before, after = gold[:, :-1][pair_there], gold[:, 1:][pair_there]
+    seen = np.zeros((size, size))
+    np.add.at(seen, (before, after), 1)
+    into = t.sum(0)
+    first = np.bincount(gold[:, 0][there[:, 0]], minlength=size)
+    seen += t / into * first  # the language before the first word, given that of the first word
+    found = (np.log(e) * onehot).sum() + np.log(t[before, after]).sum() + (first * np.log(into / size)).sum()
+    beta, marginal, pairs = uniform, np.empty_like(e), np.zeros((size, size))
+    for s in range(steps - 1, -1, -1):
+        marginal[:, s] = _scaled(forward[:, s] * beta, 1)
+        later = beta * e[:, s]
+        joint = (forward[:, s - 1] if s else uniform)[:, :, None] * t * later[:, None, :]
+        pairs += (_scaled(joint, (1, 2)) * there[:, s, None, None]).sum(0)
+        beta = np.where(there[:, s, None], _scaled(later @ t.T, 1), beta)
+    slack = (onehot - marginal * there[:, :, None]).reshape(-1, size)
+    by_word = np.stack([np.bincount(index.ravel(), slack[:, c], len(scores)) for c in range(size)], 1)
+    return float(found - log_z), by_word, seen - pairs
+
+
 def fit(texts: list[str], languages: list[str], seed: int = 7) -> Model | None:
     """Maximum likelihood of switched word sequences, by gradient steps with momentum terms (Adam)."""
     names = sorted(set(languages))
@@ -212,33 +258,12 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> Model | None:
     flat, word_of = ids[valid], np.nonzero(valid)[0]
     w, tr = np.zeros((BUCKETS, size)), np.eye(size) * 1.0
     state = [np.zeros_like(x) for x in (w, w, tr, tr)]
-    onehot = np.eye(size)[gold] * there[:, :, None]
-    pair_there = there[:, 1:] & there[:, :-1]
-    seen_pairs = np.zeros((size, size))
-    np.add.at(seen_pairs, (gold[:, :-1][pair_there], gold[:, 1:][pair_there]), 1)
     total = there.sum()
     for step in range(1, ROUNDS + 1):
         scores = np.stack([np.bincount(word_of, w[flat, c], len(vocabulary)) for c in range(size)], 1)
-        e = np.exp(scores - scores.max(1, keepdims=True))[index]
-        e[~there] = 1
-        t = np.exp(tr - tr.max())
-        uniform = np.full((len(index), size), 1 / size)
-        forward, alpha = np.empty_like(e), uniform
-        for s in range(SEGMENT):
-            alpha = np.where(there[:, s, None], _scaled((alpha @ t) * e[:, s], 1), alpha)
-            forward[:, s] = alpha
-        beta, marginal, pairs = uniform, np.empty_like(e), np.zeros((size, size))
-        for s in range(SEGMENT - 1, -1, -1):
-            marginal[:, s] = _scaled(forward[:, s] * beta, 1)
-            after = beta * e[:, s]
-            if s:
-                joint = forward[:, s - 1, :, None] * t * after[:, None, :]
-                pairs += (_scaled(joint, (1, 2)) * pair_there[:, s - 1, None, None]).sum(0)
-            beta = np.where(there[:, s, None], _scaled(after @ t.T, 1), beta)
-        slack = (onehot - marginal * there[:, :, None]).reshape(-1, size) / total
-        by_word = np.stack([np.bincount(index.ravel(), slack[:, c], len(vocabulary)) for c in range(size)], 1)
-        gw = np.stack([np.bincount(flat, by_word[word_of, c], BUCKETS) for c in range(size)], 1) - L2 / 100 * w
-        gt = (seen_pairs - pairs) / total - L2 * tr
+        _, by_word, by_pair = slopes(scores, tr, index, there, gold)
+        gw = np.stack([np.bincount(flat, by_word[word_of, c], BUCKETS) for c in range(size)], 1) / total - L2 / 100 * w
+        gt = by_pair / total - L2 * tr
         for x, g, m, v in ((w, gw, state[0], state[1]), (tr, gt, state[2], state[3])):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -303,20 +328,37 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sampled_words(text: str) -> str:
+    """At most SAMPLE_RUNS runs of MEAN_RUN words, spread evenly over the whole text."""
+    words = [p for token in text.split() for p in word_parts(token)]
+    last = len(words) - MEAN_RUN
+    if len(words) > SAMPLE_RUNS * MEAN_RUN:
+        words = [w for i in range(SAMPLE_RUNS) for w in words[i * last // (SAMPLE_RUNS - 1) :][:MEAN_RUN]]
+    return " ".join(words)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Fit on at most ``sample_docs`` labelled documents of each language, those with the least hashes, that are not held out."""
+    """Fit on runs of at most ``sample_docs`` labelled documents of each language, those with the least hashes, that are not held out.
+
+    The least hashes of all languages are found in one pass over ids: in each task, then within SALTS parts
+    of a language, then within the language. What comes to the driver is bounded by the sample's parameters.
+    """
     own = docs.where("lang is not null and doc_id is not null").where(~held_out("doc_id")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    names = [r[0] for r in own.groupBy("lang").count().orderBy("lang").collect()]  # a row a language
-    if not names:
-        return None
-    picked = None
-    for name in names:
-        best = own.where(F.col("lang") == name).orderBy("h", "doc_id").limit(sample_docs).select("doc_id", "lang")
-        picked = best if picked is None else picked.union(best)
-    picked = F.broadcast(picked.distinct())  # at most sample_docs ids a language
-    rows = docs.select("doc_id", "lang", text_or_empty("text").alias("text")).join(picked, ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    own = own.withColumn("part", F.pmod("h", F.lit(SALTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        own = own.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).drop("at")
+    picked = materialize(own.select("doc_id", "lang").distinct(), "sample")
+    bound = docs.select("doc_id", "lang", text_or_empty("text").alias("text")).join(picked, ["doc_id", "lang"])  # a written table, so that its size decides whether it is broadcast
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sampled_words(t.as_py()) for t in batch.column(2)], pa.string())], names=["doc_id", "lang", "words"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = bound.mapInArrow(run, f"doc_id {kind}, lang string, words string").groupBy("doc_id", "lang").agg(F.min("words").alias("words")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    return fit([r["words"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame) -> DataFrame:

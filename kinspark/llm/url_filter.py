@@ -2,12 +2,13 @@
 
 Personalised PageRank runs over host edges from trusted seeds; distrust runs over the reversed edges from
 blocked seeds (who links to a blocked host is suspect). Hosts that most of whose pages a rule allows are
-trusted seeds, those that most of whose pages a rule blocks are blocked seeds. A host is blocked where its
-distrust outweighs its trust; a host without either is allowed.
+trusted seeds, those that most of whose pages a rule blocks are blocked seeds. Every seed of either kind
+starts with the same mass, so that trust and distrust are on one scale however many seeds there are of each.
+A host is blocked where its distrust outweighs its trust; a host without either is allowed.
 
 Cases: a null url or one without ``://`` has empty host and path and no rule; such rows stand for no host
-in the graph; null html has no links; repeated rows stay; an empty table gives an empty result; only the
-named columns are read.
+in the graph; null html has no links; very long html is searched for links once; ties of trust and distrust
+are allowed; repeated rows stay; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm._common import materialize
+from kinspark.llm._common import drop_folder, materialize, written
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -49,45 +50,52 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``src, dst, n``: links between different hosts, summed in each task before the shuffle."""
-    links = pages.select(host_of(url_col).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1)))).alias("dst"))
-    links = links.select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    targets = F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1)), ascii_lower)
+    links = pages.select(host_of(url_col).alias("src"), F.explode(F.array_distinct(targets)).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most_rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """Personalised PageRank ``host, rank`` from ``seeds`` (host, weight summing to 1) over ``edges`` (src, dst, n).
+    """Personalised PageRank ``host, rank`` from ``seeds`` (host, weight) over ``edges`` (src, dst, n).
 
-    Mass that reaches a host without links out goes back to the seeds. Each round is written to the shared
-    folder; the loop ends when ranks move less than ``tolerance`` in all and the last round reached no further
-    host, or, where ``most_rounds`` is given, after so many. Else MOST_ROUNDS without an end are an error.
+    Ranks sum to what the weights sum to. Mass that reaches a host without links out goes back to the seeds.
+    Each round is written to the shared folder, where it replaces the one before; the loop ends when ranks
+    move less than ``tolerance`` in all and the last round reached no further host, or, where ``most_rounds``
+    is given, after so many. Else MOST_ROUNDS without an end are an error.
     """
+    spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
-    seeds = materialize(seeds.select("host", "weight"), "seeds")
-    rank = seeds.select("host", F.col("weight").alias("rank"))
-    reached = seeds.count()
+    own = out.select(F.col("src").alias("host"), F.lit(True).alias("out"))
+    shares = edges.join(out, "src").select("src", F.col("dst").alias("host"), (F.col("n") / F.col("total")).alias("share")).join(own, "host", "left")
+    shares = materialize(shares.select("src", F.col("host").alias("dst"), "share", F.coalesce("out", F.lit(False)).alias("out")), "shares")
+    seeds = materialize(seeds.select("host", "weight").join(own, "host", "left").select("host", "weight", F.coalesce("out", F.lit(False)).alias("out")), "seeds")
+    zero, flows = F.lit(0.0), F.coalesce(F.sum(F.when(F.col("out"), F.col("rank"))), F.lit(0.0))
+    rank, folder = seeds.select("host", F.col("weight").alias("rank"), "out"), None
+    whole = seeds.agg(F.sum("weight")).first()[0] or 1.0
+    reached, flowed = rank.agg(F.count(F.lit(1)), flows).first()
     for _ in range(MOST_ROUNDS if most_rounds is None else most_rounds):
-        moved = materialize(shares.join(rank, shares["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got")), "moved")
-        flowed = moved.agg(F.sum("got")).first()[0] or 0.0
-        jump = seeds.select("host", (F.col("weight") * (1 - damping * flowed)).alias("rank"))
-        step = moved.select(F.col("dst").alias("host"), (F.col("got") * damping).alias("rank")).unionByName(jump).groupBy("host").agg(F.sum("rank").alias("rank"))
-        step = materialize(step, "ranks")
-        change = step.alias("a").join(rank.alias("b"), "host", "full").agg(F.sum(F.abs(F.coalesce("a.rank", F.lit(0.0)) - F.coalesce("b.rank", F.lit(0.0))))).first()[0]
-        rank, before, reached = step, reached, step.count()
-        if change is None or change < tolerance and before == reached:
+        got = shares.join(rank.select(F.col("host").alias("src"), "rank"), "src").select(F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"), zero.alias("old"), "out")
+        jump = seeds.select("host", (F.col("weight") * (1 - damping * flowed / whole)).alias("rank"), zero.alias("old"), "out")
+        step = got.unionByName(jump).unionByName(rank.select("host", zero.alias("rank"), F.col("rank").alias("old"), "out"))
+        step, newer = written(step.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"), F.max("out").alias("out")), "ranks")
+        before, (reached, flowed, change) = reached, step.agg(F.count(F.lit(1)), flows, F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()
+        if folder:
+            drop_folder(spark, folder)
+        rank, folder = step.select("host", "rank", "out"), newer
+        if change < tolerance and before == reached:
             break
     else:
         if most_rounds is None:
             raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
-    return rank
+    return rank.select("host", "rank")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", margin: float = 1.0) -> DataFrame:
     """Per page ``page_id, host, path, rule, verdict, trust, distrust``.
 
-    ``margin``: a host is blocked when its distrust is over so many times its trust. Only pages that no rule
-    fits are joined to the hosts' scores; a host with a third of all pages is a skewed key there, which
-    adaptive execution splits, and is summed in each task before it is counted.
+    ``margin``: a host is blocked when its distrust is over so many times its trust. All pages are joined to
+    their hosts' scores; a host with a third of all pages is a skewed key there, which adaptive execution
+    splits, and is summed in each task before it is counted.
     """
     host, path = host_of(url_col), path_of(url_col)
     rule, verdict = rule_of(host, path, rules)
@@ -96,9 +104,10 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     hosts = judged.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce("verdict", F.lit("")) == "allow").cast("double")).alias("allowed"), F.avg((F.coalesce("verdict", F.lit("")) == "block").cast("double")).alias("blocked"))
     hosts = materialize(hosts, "hosts")
 
+    n_seeds = hosts.where((F.col("allowed") > 0.5) | (F.col("blocked") > 0.5)).count()
+
     def from_seeds(column: str, links: DataFrame) -> DataFrame:
-        own = hosts.where(F.col(column) > 0.5)
-        return propagate(links, own.select("host", F.lit(1.0 / max(1, own.count())).alias("weight")))
+        return propagate(links, hosts.where(F.col(column) > 0.5).select("host", F.lit(1.0 / max(1, n_seeds)).alias("weight")))
 
     trust = from_seeds("allowed", edges).withColumnRenamed("rank", "trust")
     distrust = from_seeds("blocked", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumnRenamed("rank", "distrust")

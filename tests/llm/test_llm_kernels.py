@@ -197,6 +197,43 @@ def test_forward_backward_over_segments():
         assert np.allclose(sums, (m / m.sum(1, keepdims=True)).sum(0), rtol=1e-3)
 
 
+def test_slopes_against_differences():
+    """The training slopes are those of the log-likelihood, which is that of all label sequences enumerated."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    scores, tr = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
+    index, gold = rng.integers(0, 5, (2, 4)), rng.integers(0, 3, (2, 4))
+    there = np.ones((2, 4), bool)
+    there[1, 3:] = False
+
+    def plain(scores, tr):
+        total = 0.0
+        for own, labels, n in zip(index, gold, there.sum(1), strict=True):
+            weight = lambda seq: np.exp(tr[:, seq[0]]).sum() / 3 * np.exp(sum(scores[own[i], c] for i, c in enumerate(seq)) + sum(tr[a, b] for a, b in itertools.pairwise(seq)))  # noqa: B023, E731
+            total += np.log(weight(labels[:n]) / sum(weight(seq) for seq in itertools.product(range(3), repeat=int(n))))
+        return total
+
+    found, by_word, by_pair = language_id.slopes(scores, tr, index, there, gold)
+    assert found == pytest.approx(plain(scores, tr))
+    for values, own in ((scores, by_word), (tr, by_pair)):
+        for at in np.ndindex(values.shape):
+            kept, sides = values[at], []
+            for d in (1e-5, -1e-5):
+                values[at] = kept + d
+                sides.append(plain(scores, tr))
+            values[at] = kept
+            assert own[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-5)
+
+
+def test_signs_are_no_letters():
+    assert [language_id.word_parts(x) for x in ("½", "①²", "a½b", "Ⅷ", "字", "12", "_x_")] == [[], [], ["ab"], [], ["字"], [], ["x"]]
+    long = " ".join(f"w{chr(97 + i % 26) * (1 + i % 7)}" for i in range(5000))
+    words = language_id.sampled_words(long).split()
+    assert len(words) == language_id.SAMPLE_RUNS * language_id.MEAN_RUN and words[-1] == language_id.word_parts(long.split()[-1])[0]
+    assert language_id.sampled_words("a b c") == "a b c"
+
+
 def test_languages_and_switches():
     en, de = "the cat and the dog were with them in the house ", "der hund und die katze waren mit ihnen in dem haus "
     model = language_id.fit([en * 4] * 20 + [de * 4] * 20, ["en"] * 20 + ["de"] * 20)

@@ -38,6 +38,41 @@ def test_ownership_separates_copies(spark):
     assert masked[9] == "<secret>" and masked[0] == f"é {key} x"
 
 
+def test_many_spans_in_one_text(spark):
+    """Places of thousands of spans, in far less than quadratic time, and the text with all of them masked."""
+    import time
+
+    text = "".join(f"é{i:024x}\n" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "s", "en"), (2, "none", None, None)], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["stop"]) for s in got[1]["spans"]] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert masked == {1: "é<secret>\n" * 20_000, 2: "none"}
+
+
+def test_masks_of_overlapping_spans(spark):
+    rows = [(i, f"a token={'f' * 30 + 'Z' * i} b password: AKIA{'Q' * 20}=x c {'0' * 30}", f"s{i}", "en") for i in range(2)] + [(5, None, "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    for r in secret_scan.redact(docs).collect():
+        want, at = "", 0
+        for s in spans[r["doc_id"]]:
+            if s["live"] and s["start"] >= at:
+                want += rows[r["doc_id"]][1][at : s["start"]] + "<secret>"
+            at = max(at, s["stop"] if s["live"] else 0)
+        assert r["text"] == (want + rows[r["doc_id"]][1][at:] if r["doc_id"] != 5 else None)
+
+
+def test_owners_and_repositories(spark):
+    """One owner's value stays live in many repositories; two owners' is a copy where it is in many."""
+    rows = [(f"token=one{'x' * 9}", "a", x) for x in ("en", "de", "fr", "es")] + [(f"token=two{'x' * 9}", o, x) for o in "ab" for x in ("en", "de")] + [(f"token=few{'x' * 9}", o, "en") for o in "ab"]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["spans"][0] for r in secret_scan.scan(docs).collect()}
+    assert [(got[i]["n_owners"], got[i]["n_repos"], got[i]["live"]) for i in (0, 4, 8)] == [(1, 4, True), (2, 4, False), (2, 2, True)]
+
+
 def test_leaks_and_changed_questions(spark):
     item = "Anna had 12 apples and gave 5 apples to the boy who lived near the old mill before she ate 12 more and then went home to sleep for the whole of the night"
     changed = item.replace("12", "30").replace("5", "8")
@@ -88,6 +123,65 @@ def test_phrases_of_short_items_are_no_leaks(spark):
     assert got == want | {(None, 70)}
 
 
+def test_scripts_without_spaces(spark):
+    item = "小明有三个苹果他给了朋友两个苹果请问小明现在还剩下几个苹果"
+    docs = [(1, f"今天我们来看一道题目{item}这就是全部的内容"), (2, "今天的天气很好我们一起去公园散步吧然后回家吃饭"), (3, item[:4])]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
+
+
+def test_names_that_begin_sentences(spark):
+    """A name is a slot wherever it stands, and a capitalised word that is none still meets its small form."""
+    item = "Anna went to the market with the blue basket. Anna bought bread and milk for the old neighbour"
+    docs = [(1, item.replace("Anna", "Peter")), (2, "so " + item.replace("Anna", "Clara") + " today"), (3, item.replace("Anna", "Peter", 1)), (4, "then anna went to the market with the blue basket" + item[44:])]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_changed"] for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {1, 2, 4} <= got.keys() and got[1] == got[2] == 1 and got[4] == 0
+
+
+def test_recall_of_changed_questions(spark):
+    """Items with other numbers, names and units, within other text: at least 0.9 are found, and no clean text is."""
+    import random
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(300)]
+    names = ["Anna", "Peter", "Clara", "Boris", "Dora", "Emil", "Fritz", "Greta"]
+    units = ["kg", "miles", "hours", "litres"]
+
+    def made(values):
+        return " ".join(values.get(w, w) for w in shape)
+
+    items, docs, want = [], [], set()
+    for i in range(60):
+        shape = rng.choices(words, k=rng.randint(18, 40))
+        for k in range(rng.randint(2, 5)):
+            shape.insert(rng.randint(0, len(shape)), f"<n{k}>")
+        for k in range(rng.randint(1, 2)):
+            shape.insert(rng.randint(0, len(shape)), f"<m{k}>")
+
+        def values():
+            picked = rng.sample(names, 2)
+            numbers = rng.sample(range(2, 99), 5)
+            return {f"<n{k}>": f"{numbers[k]} {rng.choice(units)}" if k == 0 else str(numbers[k]) for k in range(5)} | {f"<m{k}>": picked[k] for k in range(2)}
+
+        items.append((i, made(values())))
+        docs.append((i, " ".join([*rng.choices(words, k=rng.randint(0, 30)), made(values()), *rng.choices(words, k=rng.randint(0, 30))])))
+        want.add((i, i))
+        docs.append((1000 + i, " ".join(rng.choices([*words, "12", "40", "Anna"], k=60))))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want), (len(got & want), sorted(got - want))
+
+
+def test_texts_that_repeat_a_phrase(spark):
+    """Thousands of diagonals of one text and item go through blocks; the whole copy among them is found."""
+    item = "add the sugar and stir the bowl until it is smooth then pour it all into the old pan and bake it for one hour"
+    text = "add the sugar and " * 4000
+    docs = spark.createDataFrame([(1, text), (2, text + item + " " + text)], "doc_id long, text string")
+    got = decontaminate.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [r["doc_id"] for r in got] == [2]
+
+
 def test_leaks_by_brute_force(spark):
     """Every item placed anywhere is found; texts without one aren't reported."""
     import random
@@ -277,6 +371,15 @@ def test_ranks_reach_far_hosts(spark):
     assert got == pytest.approx({f"h{i}": 0.85**i / whole for i in range(25)}, abs=1e-3)
 
 
+def test_verdict_over_a_long_chain(spark):
+    """Thirty hosts that lead to a blocked one: all are judged by it, and as many more seeds of one kind change nothing."""
+    rows = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">x</a>' if i < 29 else '<a href="http://bad.net/">x</a>') for i in range(30)]
+    rows += [(100, "http://bad.net/es/1", ""), (101, "http://good.com/", '<a href="http://liked.org/"><a href="http://LIKED.org/z">'), (102, "http://other.org/", None)]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert all(got[i]["verdict"] == "block" for i in range(30)) and got[102]["verdict"] == "allow"
+    assert got[100]["distrust"] + sum(got[i]["distrust"] for i in range(30)) == pytest.approx(0.5, abs=1e-3) and got[101]["trust"] <= 0.5
+
+
 def test_labels_and_languages_on_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 1), (None, 1, 1), (3, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
     got = toxicity.judge_documents(odd_docs, labels).collect()
