@@ -56,41 +56,46 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most_rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """Personalised PageRank ``host, rank`` from ``seeds`` (host, weight) over ``edges`` (src, dst, n).
+    """Personalised PageRank ``walk, host, rank`` from ``seeds`` (walk, host, weight) over ``edges`` (walk, src, dst, n).
 
-    Ranks sum to what the weights sum to. Mass that reaches a host without links out goes back to the seeds.
-    Each round is written to the shared folder, where it replaces the one before; the loop ends when ranks
-    move less than ``tolerance`` in all and the last round reached no further host, or, where ``most_rounds``
-    is given, after so many. Else MOST_ROUNDS without an end are an error.
+    Walks (a few names) are apart from each other and go on side by side; each one's ranks sum to what its
+    weights sum to. Mass that reaches a host without links out goes back to the seeds. Each round is written to
+    the shared folder, where it replaces the one before; the loop ends when ranks move less than ``tolerance``
+    in all and the last round reached no further host, or, where ``most_rounds`` is given, after so many. Else
+    MOST_ROUNDS without an end are an error.
     """
-    spark = edges.sparkSession
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    own = out.select(F.col("src").alias("host"), F.lit(True).alias("out"))
-    shares = edges.join(out, "src").select("src", F.col("dst").alias("host"), (F.col("n") / F.col("total")).alias("share")).join(own, "host", "left")
-    shares = materialize(shares.select("src", F.col("host").alias("dst"), "share", F.coalesce("out", F.lit(False)).alias("out")), "shares")
-    seeds = materialize(seeds.select("host", "weight").join(own, "host", "left").select("host", "weight", F.coalesce("out", F.lit(False)).alias("out")), "seeds")
-    zero, flows = F.lit(0.0), F.coalesce(F.sum(F.when(F.col("out"), F.col("rank"))), F.lit(0.0))
-    rank, folder = seeds.select("host", F.col("weight").alias("rank"), "out"), None
-    whole = seeds.agg(F.sum("weight")).first()[0] or 1.0
-    reached, flowed = rank.agg(F.count(F.lit(1)), flows).first()
-    for _ in range(MOST_ROUNDS if most_rounds is None else most_rounds):
-        got = shares.join(rank.select(F.col("host").alias("src"), "rank"), "src").select(F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"), zero.alias("old"), "out")
-        jump = seeds.select("host", (F.col("weight") * (1 - damping * flowed / whole)).alias("rank"), zero.alias("old"), "out")
-        step = got.unionByName(jump).unionByName(rank.select("host", zero.alias("rank"), F.col("rank").alias("old"), "out"))
-        step, newer = written(step.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"), F.max("out").alias("out")), "ranks")
-        before, (reached, flowed, change) = reached, step.agg(F.count(F.lit(1)), flows, F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()
+    spark, key = edges.sparkSession, ["walk", "host"]
+    out = edges.groupBy("walk", "src").agg(F.sum("n").alias("total"))
+    own = out.select("walk", F.col("src").alias("host"), F.lit(True).alias("out"))
+    shares = edges.join(out, ["walk", "src"]).select("walk", "src", F.col("dst").alias("host"), (F.col("n") / F.col("total")).alias("share")).join(own, key, "left")
+    shares = materialize(shares.select("walk", "src", F.col("host").alias("dst"), "share", F.coalesce("out", F.lit(False)).alias("out")), "shares")
+    seeds = materialize(seeds.join(own, key, "left").select(*key, "weight", F.coalesce("out", F.lit(False)).alias("out")), "seeds")
+    zero, one = F.lit(0.0), F.count(F.lit(1)).alias("n")
+    flows = F.coalesce(F.sum(F.when(F.col("out"), F.col("rank"))), zero).alias("flowed")
+    whole = {r["walk"]: r["w"] for r in seeds.groupBy("walk").agg(F.sum("weight").alias("w")).collect()}  # a row a walk
+    rank, folder = seeds.select(*key, F.col("weight").alias("rank"), "out"), None
+    state = rank.groupBy("walk").agg(one, flows).collect()
+    for _ in range((MOST_ROUNDS if most_rounds is None else most_rounds) if state else 0):
+        left = F.lit(0.0)
+        for r in state:
+            left = F.when(F.col("walk") == r["walk"], 1 - damping * r["flowed"] / whole[r["walk"]]).otherwise(left)
+        got = shares.join(rank.select("walk", F.col("host").alias("src"), "rank"), ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"), zero.alias("old"), "out")
+        jump = seeds.select(*key, (F.col("weight") * left).alias("rank"), zero.alias("old"), "out")
+        step = got.unionByName(jump).unionByName(rank.select(*key, zero.alias("rank"), F.col("rank").alias("old"), "out"))
+        step, newer = written(step.groupBy(*key).agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"), F.max("out").alias("out")), "ranks")
+        before, state = sum(r["n"] for r in state), step.groupBy("walk").agg(one, flows, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).collect()
         if folder:
             drop_folder(spark, folder)
-        rank, folder = step.select("host", "rank", "out"), newer
-        if change < tolerance and before == reached:
+        rank, folder = step.select(*key, "rank", "out"), newer
+        if sum(r["change"] for r in state) < tolerance and before == sum(r["n"] for r in state):
             break
     else:
-        if most_rounds is None:
+        if most_rounds is None and state:
             raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
-    return rank.select("host", "rank")
+    return rank.select(*key, "rank")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", margin: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", margin: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """Per page ``page_id, host, path, rule, verdict, trust, distrust``.
 
     ``margin``: a host is blocked when its distrust is over so many times its trust. All pages are joined to
@@ -106,12 +111,11 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     n_seeds = hosts.where((F.col("allowed") > 0.5) | (F.col("blocked") > 0.5)).count()
 
-    def from_seeds(column: str, links: DataFrame) -> DataFrame:
-        return propagate(links, hosts.where(F.col(column) > 0.5).select("host", F.lit(1.0 / max(1, n_seeds)).alias("weight")))
-
-    trust = from_seeds("allowed", edges).withColumnRenamed("rank", "trust")
-    distrust = from_seeds("blocked", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumnRenamed("rank", "distrust")
+    weight = F.lit(1.0 / max(1, n_seeds))
+    seeds = hosts.where("allowed > 0.5").select(F.lit("trust").alias("walk"), "host", weight.alias("weight")).union(hosts.where("blocked > 0.5").select(F.lit("distrust"), "host", weight))
+    links = edges.select(F.lit("trust").alias("walk"), "src", "dst", "n").union(edges.select(F.lit("distrust"), "dst", "src", "n"))
     zero = F.lit(0.0)
-    scores = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
+    of_walk = lambda name: F.coalesce(F.sum(F.when(F.col("walk") == name, F.col("rank"))), zero).alias(name)
+    scores = propagate(links, seeds, tolerance=tolerance).groupBy("host").agg(of_walk("trust"), of_walk("distrust"))
     method = F.when(F.coalesce("distrust", zero) > margin * F.coalesce("trust", zero), "block").otherwise("allow")
     return judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.round(F.coalesce("trust", zero), 6).alias("trust"), F.round(F.coalesce("distrust", zero), 6).alias("distrust"))

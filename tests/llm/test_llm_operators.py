@@ -338,7 +338,7 @@ def _plain_lcs(a, b):
 def test_urls(spark):
     urls = ["http://a.example.com/en/1", "https://www.example.com/en/x?y", "http://X.NET/es/", "http://x.net/en/", "http://com", "http://q.org/a", None, "nourl", "ftp://h.org#f"]
     rows = [(i, u, f'<a href="http://bad.net/">x</a><A HREF=//Q.org/z>' if i == 5 else None) for i, u in enumerate(urls)] + [(20, "http://bad.net/es/1", ""), (21, "http://bad.net/es/2", '<a href="http://q.org">')]
-    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rank", F.lit(1))).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rank", F.lit(1)), tolerance=1e-2).collect()}
     assert [got[i]["rule"] for i in range(9)] == ["example.com/en/", "www.example.com/en/", "net/es/", None, None, None, None, None, None]
     assert [got[i]["verdict"] for i in range(5)] == ["block", "allow", "block", "allow", "allow"]
     assert got[5]["verdict"] == "block" and got[5]["distrust"] > 0  # it links to a blocked host
@@ -349,7 +349,7 @@ def test_urls(spark):
 def test_page_rank_by_brute_force(spark):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 1)]
     seeds = {"a": 0.5, "d": 0.5}
-    got = {r["host"]: r["rank"] for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(list(seeds.items()), "host string, weight double"), most_rounds=15).collect()}
+    got = {r["host"]: r["rank"] for r in url_filter.propagate(spark.createDataFrame([("w", *e) for e in edges] + [("v", "x", "y", 1)], "walk string, src string, dst string, n long"), spark.createDataFrame([("w", *x) for x in seeds.items()] + [("v", "x", 0.25)], "walk string, host string, weight double"), most_rounds=15).where("walk = 'w'").collect()}
     rank = dict(seeds)
     out = {}
     for s, _, n in edges:
@@ -365,8 +365,8 @@ def test_page_rank_by_brute_force(spark):
 
 def test_ranks_reach_far_hosts(spark):
     """A host 24 links from the seed has a rank, and the ranks have settled."""
-    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(24)], "src string, dst string, n long").coalesce(1)
-    got = {r["host"]: r["rank"] for r in url_filter.propagate(edges, spark.createDataFrame([("h0", 1.0)], "host string, weight double"), tolerance=1e-3).collect()}
+    edges = spark.createDataFrame([("w", f"h{i}", f"h{i + 1}", 1) for i in range(24)], "walk string, src string, dst string, n long").coalesce(1)
+    got = {r["host"]: r["rank"] for r in url_filter.propagate(edges, spark.createDataFrame([("w", "h0", 1.0)], "walk string, host string, weight double"), tolerance=1e-3).collect()}
     whole = sum(0.85**i for i in range(25))
     assert got == pytest.approx({f"h{i}": 0.85**i / whole for i in range(25)}, abs=1e-3)
 
@@ -375,9 +375,9 @@ def test_verdict_over_a_long_chain(spark):
     """Thirty hosts that lead to a blocked one: all are judged by it, and as many more seeds of one kind change nothing."""
     rows = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">x</a>' if i < 29 else '<a href="http://bad.net/">x</a>') for i in range(30)]
     rows += [(100, "http://bad.net/es/1", ""), (101, "http://good.com/", '<a href="http://liked.org/"><a href="http://LIKED.org/z">'), (102, "http://other.org/", None)]
-    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), tolerance=1e-2).collect()}
     assert all(got[i]["verdict"] == "block" for i in range(30)) and got[102]["verdict"] == "allow"
-    assert got[100]["distrust"] + sum(got[i]["distrust"] for i in range(30)) == pytest.approx(0.5, abs=1e-3) and got[101]["trust"] <= 0.5
+    assert got[100]["distrust"] + sum(got[i]["distrust"] for i in range(30)) == pytest.approx(0.5, abs=2e-2) and got[101]["trust"] <= 0.5
 
 
 def test_labels_and_languages_on_odd_rows(spark, odd_docs, no_docs):
