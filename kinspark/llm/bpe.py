@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
 Cases: a null text counts as empty and has no ids; equal texts have equal ids; texts of any length are
-encoded whole; rows repeat as they come; an empty table gives an empty result; only the named columns
-are read, so other columns cannot clash.
+encoded whole; of equal ranks the leftmost pair is merged first; rows repeat as they come; an empty table
+gives an empty result; only the named columns are read, so other columns cannot clash. Ranks must hold every
+single byte, so that any text has ids.
 """
 
 from __future__ import annotations
@@ -98,6 +99,8 @@ class MergeTable:
     ROWS = 8192
 
     def __init__(self, ranks: dict[bytes, int]):
+        if any(bytes([i]) not in ranks for i in range(256)):
+            raise ValueError("ranks lack single bytes")
         self.ranks = ranks
         self.width = max(ranks.values(), default=0) + 1
         keys, values = [], []
@@ -110,7 +113,7 @@ class MergeTable:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.keys = np.append(np.array(keys, np.int64)[order], np.int64(NO_PAIR))
         self.values = np.append(np.array(values, np.int64)[order], 0)
-        self.of_byte = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
     def leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
         """(rank, position) of the pairs, or NO_PAIR where there is none."""
@@ -229,13 +232,12 @@ class Encoder:
             self.runs[run] = b"".join(map(ids_of, pieces))
         out, whole = [], {}
         for at, (parts, first) in enumerate(zip(split, firsts, strict=True)):
-            try:
-                if not texts[at] or parts[0][-1:].isspace() or not parts[0] and len(parts) > 1:
-                    raise TypeError
-                out.append(b"".join(map(ids_of, first)) + b"".join(map(self.runs.__getitem__, parts[1:])))
-            except TypeError:  # two white-space characters in a row: the pattern decides over the whole text
-                out.append(b"")
+            rest = list(map(self.runs.__getitem__, parts[1:]))
+            if not texts[at] or parts[0][-1:].isspace() or not parts[0] and len(parts) > 1 or None in rest:
+                out.append(b"")  # two white-space characters in a row: the pattern decides over the whole text
                 whole[at] = self.find(texts[at])
+            else:
+                out.append(b"".join(map(ids_of, first)) + b"".join(rest))
         for at, pieces in whole.items():
             self._learn(set(pieces))
             out[at] = b"".join(map(self.pieces.__getitem__, pieces))
@@ -286,25 +288,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As :func:`encode_documents`, but counts and digests only: ``id_col, n_tokens, ids_sha256, decoded_sha256``.
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """As :func:`encode_documents`, but counts and digests: ``id_col, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for.
 
     A map over rows: no shuffle, and a lost task is run again from its input split.
     """
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
         for part in in_groups(batches, 1):
             ids = own.encode_many(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
-                ],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [
+                part.column(0),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
+            ]
+            if with_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

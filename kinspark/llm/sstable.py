@@ -11,9 +11,10 @@ File layout, integers little-endian::
     filter    bit array
     footer    u64 index place, u64 index length, u64 filter place, u64 filter length, u32 filter hashes, u32 id width, u64 documents, u64 ids, 8-byte magic
 
-Cases: null text counts as empty; a document without text still has its end id; a null doc_id is the key
-of length zero and sorts first; repeated doc_ids stay as records of their own, in order of their text; an
-empty table writes no shard and gives an empty result.
+Cases: null text counts as empty; a document without text still has its end id; a very long text is one
+record, in a block of its own; a null doc_id is the key of length zero and sorts first; repeated doc_ids stay
+as records of their own, in order of a digest of their text, and may go over several shards; an empty table
+writes no shard and gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -40,6 +42,9 @@ RECORD = struct.Struct("<HHI")
 ENTRY = struct.Struct("<HQI")
 BLOCK_BYTES = 256 * 1024
 BITS_PER_KEY, HASHES = 10, 7
+#: A shard holds about this much text; where there is little, as many shards are made as shuffles have partitions, but none under the latter size.
+SHARD_BYTES, LEAST_SHARD_BYTES = 128 << 20, 4 << 20
+MASK64 = (1 << 64) - 1
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -51,12 +56,33 @@ def id_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
-def _bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
+def _hash(key: bytes) -> int:
     import xxhash
 
-    h = xxhash.xxh64_intdigest(key)
+    return xxhash.xxh64_intdigest(key)
+
+
+def _bloom_places(h: int, bits: int, hashes: int) -> list[int]:
     step = (h >> 32) | 1
-    return [(h + i * step) % bits for i in range(hashes)]
+    return [((h + i * step) & MASK64) % bits for i in range(hashes)]
+
+
+def _bloom_filter(hashed: array, bits: int) -> bytes:
+    """The filter of all keys with these hashes, a bit a bit."""
+    out = np.zeros((bits + 7) // 8, np.uint8)
+    for at in range(0, len(hashed), 1 << 16):
+        h = np.frombuffer(hashed, np.uint64)[at : at + (1 << 16)]
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for i in range(HASHES):
+            place = (h + np.uint64(i) * step) % np.uint64(bits)
+            np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), np.left_shift(1, (place & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+    return out.tobytes()
+
+
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path there. Hadoop's names of object stores are those of Arrow's."""
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else folder)
 
 
 class Writer:
@@ -67,7 +93,7 @@ class Writer:
 
         self.out, self.width, self.zstd = out, id_width, zstandard.ZstdCompressor(level=level)
         self.block, self.held, self.first, self.last = [], 0, b"", b""
-        self.index, self.keys, self.place, self.ids = [], [], 0, 0
+        self.index, self.hashed, self.place, self.ids = [], array("Q"), 0, 0
 
     def add(self, key: bytes, ids: bytes) -> None:
         """``ids`` are in the shard's id width."""
@@ -81,7 +107,7 @@ class Writer:
         self.block += [RECORD.pack(shared, len(key) - shared, len(ids) // self.width), key[shared:], ids]
         self.held += len(ids) + RECORD.size + len(key) - shared
         self.last = key
-        self.keys.append(key)
+        self.hashed.append(_hash(key))
         self.ids += len(ids) // self.width
         if self.held >= BLOCK_BYTES:
             self._flush()
@@ -97,14 +123,10 @@ class Writer:
     def close(self) -> None:
         self._flush()
         index = self.zstd.compress(b"".join(ENTRY.pack(len(k), place, n) + k for k, place, n in self.index))
-        bits = max(64, len(self.keys) * BITS_PER_KEY)
-        filled = np.zeros(bits, np.uint8)
-        for key in self.keys:
-            filled[_bloom_places(key, bits, HASHES)] = 1
-        bloom = np.packbits(filled).tobytes()
+        bloom = _bloom_filter(self.hashed, max(64, len(self.hashed) * BITS_PER_KEY))
         self.out.write(index)
         self.out.write(bloom)
-        self.out.write(FOOTER.pack(self.place, len(index), self.place + len(index), len(bloom), HASHES, self.width, len(self.keys), self.ids, MAGIC))
+        self.out.write(FOOTER.pack(self.place, len(index), self.place + len(index), len(bloom), HASHES, self.width, len(self.hashed), self.ids, MAGIC))
 
 
 class Reader:
@@ -149,9 +171,9 @@ class Reader:
         """The ids of every record with this key: Bloom filter, binary search of the index, then block reads."""
         if self.bloom is None:
             self.source.seek(self.bloom_at)
-            self.bloom = np.unpackbits(np.frombuffer(self.source.read(self.bloom_length), np.uint8))
+            self.bloom = self.source.read(self.bloom_length)
         bits = max(64, self.documents * BITS_PER_KEY)
-        if not all(self.bloom[p] for p in _bloom_places(key, bits, self.hashes)):
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(_hash(key), bits, self.hashes)):
             return []
         firsts, found = [x[0] for x in self.index], []
         number = bisect_right(firsts, key) - 1
@@ -185,6 +207,7 @@ class WordEncoder:
         steps = json.loads(self.tokenizer.to_str())
         self.plain_chain = (
             [x["type"] for x in steps["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+            and (steps["normalizer"]["normalizers"][1]["pattern"], steps["normalizer"]["normalizers"][1]["content"]) == ({"Regex": r"\s+"}, " ")
             and [x["type"] for x in steps["pre_tokenizer"]["pretokenizers"]] == ["Split", "ByteLevel"]
             if steps.get("normalizer", {}).get("type") == steps.get("pre_tokenizer", {}).get("type") == "Sequence"
             else False
@@ -235,8 +258,9 @@ SHARDS = "path string, first_id long, last_id long, n_docs long, n_tokens long"
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write all documents; returns one row per shard (:data:`SHARDS`) with ``start``, the ids before it.
 
-    Rows are dealt out by ranges of the identifier, so shards don't overlap and no key can fill one task.
-    A shard is written under a temporary name and moved, so that a task run again replaces it whole.
+    Rows are dealt out by ranges of the identifier and a digest of the text, so that shards don't overlap and
+    rows of one identifier can go to several; equal rows can't. The number of shards follows from the size of
+    the texts. A shard is written under a temporary name and moved, so that a task run again replaces it whole.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "sstable")
@@ -245,8 +269,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         from pyspark import TaskContext
 
         own, context = _encoder(tokenizer_path, end_id), TaskContext.get()
-        store, base = fs.FileSystem.from_uri(folder)
-        name = f"{base}/shard-{context.partitionId():06d}.sst"
+        store, base = open_store(folder)
+        name = f"{base}/shard-{context.partitionId():09d}.sst"
         writer, out, first, last = None, None, None, None
         for batch in batches:
             for start in _cuts(batch, 2_000_000):
@@ -263,14 +287,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             out.close()
             store.move(f"{name}.{context.taskAttemptId()}.tmp", name)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.string()), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.ids], pa.int64())],
+                [pa.array([name], pa.string()), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([len(writer.hashed)], pa.int64()), pa.array([writer.ids], pa.int64())],
                 names=["path", "first_id", "last_id", "n_docs", "n_tokens"],
             )
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_SHARD_BYTES)))
+    dealt = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange(parts, "id", "digest").sortWithinPartitions("id", "digest").select("id", "text")
     shards = materialize(dealt.mapInArrow(run, SHARDS), "shards")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard; names are in order of the ranges
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
@@ -286,8 +312,13 @@ def _cuts(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[int, int]]:
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """Every document of the shards, from their files: ``doc_id, start, n_tokens, ids_crc32``."""
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+    def some(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = open_store(folder)
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as source:
@@ -297,7 +328,11 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                         wide = np.frombuffer(ids, f"<u{reader.width}").astype("<u4").tobytes()
                         rows.append((id_of(key), start, n, zlib.crc32(wide)))
                         start += n
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) >= 8192:
+                            yield some(rows)
+                            rows = []
+                if rows:
+                    yield some(rows)
 
     parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shards.select("path", "start").repartition(parts, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,14 +1,18 @@
 """Toxicity scores by weak supervision.
 
-From a bounded sample of labelled rows, lexicon voters (words and word beginnings that occur in toxic rows
-far more than chance allows) and pattern voters are made. A generative label model fits by expectation
-maximisation how often each voter speaks in toxic and other rows and how far voters repeat one another,
-and gives posterior labels; a logistic classifier over the voters' evidence is trained on those and scores
-every whole text.
+From a bounded sample of labelled rows, lexicon voters (words, word beginnings and, in scripts without spaces,
+character pairs and triples that occur in toxic rows far more than chance allows) and pattern voters are made.
+A generative label model estimates by expectation maximisation how often each voter speaks in toxic and other
+rows, and on which other voter it depends (the tree of largest mutual information given the class). The given
+labels choose the lexicon voters, and are one more voter of the model, whose accuracy is estimated like that
+of the others, so that a wrong label is overruled. A logistic classifier over the votes is trained on the
+posterior labels, drawn towards the voters' log-odds in the label model, and scores every whole text.
 
 Cases: null and empty texts get the score of a text without any evidence; equal texts have equal scores;
-rows without a label and ids without a row are not used; where labels have one class only, the built-in
-lexicon alone votes; repeated rows stay; empty tables give an empty result; only the named columns are read.
+very long texts are scored whole, and only their distinct words are held; rows without a label and ids without
+a row are not used; of repeated rows of one doc_id one is used in training, and the larger label; where labels
+have one class only, the built-in lexicon alone votes; repeated rows stay; ties between voters are settled by
+their spelling; empty tables give an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,12 +34,15 @@ from kinspark.llm._common import BoundedCache, materialize, text_or_empty
 SAMPLE_ROWS = 3000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8, 9)
-MOST_UNITS = 400
 #: A text without any evidence scores at most this, whatever the share of toxic labels.
 MOST_WITHOUT_EVIDENCE = 0.2
 LEAST_ROWS = 4
+#: The share of chance units that is allowed among the chosen ones.
+FALSE_SHARE = 0.02
+#: What the model takes the labels' accuracy for before it estimates it.
 GOLD_ACCURACY = 0.98
 WORD = re.compile(r"\w+")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
 #: Common English insults, the voters that need no labels.
 SEED_WORDS = frozenset({"idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "garbage", "filth", "vermin"})
 ADDRESS = re.compile(r"\byou(?:'re| are)? (?:all )?(?:such )?(?:an? )?(?:" + "|".join(sorted(SEED_WORDS)) + r")\b", re.I)
@@ -48,8 +55,17 @@ def units_of(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)]
 
 
+def words_in(low: str) -> list[str]:
+    """Words of a lower-case text; runs in scripts without spaces also give their pairs and triples of characters."""
+    words = WORD.findall(low)
+    if not low.isascii():
+        for run in UNSPACED.findall(low):
+            words += [run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1)]
+    return words
+
+
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    return set(words_in(text.lower()))
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -86,20 +102,21 @@ def choose_units(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
         if not label:
             in_other.update({u for w in words for u in units_of(w) if u in in_toxic})
     prior = n_toxic / len(sets)
-    limit = math.log(0.01) - math.log(max(1, len(in_toxic)))
-    passed = {u: k for u, k in in_toxic.items() if k >= 9 * in_other[u] and _tail(k, k + in_other[u], prior) < limit}
-    rows: dict[str, set[int]] = {u: set() for u in passed}
+    chances = sorted((_tail(k, k + in_other[u], prior), u) for u, k in in_toxic.items() if k >= 9 * in_other[u])
+    limit = -math.inf  # as many pass as keeps the expected share of chance units (Benjamini and Hochberg)
+    for rank, (chance, _) in enumerate(chances, 1):
+        if chance <= math.log(FALSE_SHARE * rank / len(in_toxic)):
+            limit = chance
+    passed = {u: in_toxic[u] for chance, u in chances if chance <= limit}
+    rows: dict[str, list[int]] = {u: [] for u in passed}
     for at, (words, label) in enumerate(zip(sets, toxic, strict=True)):
         if label:
             for u in {u for w in words for u in units_of(w)} & passed.keys():
-                rows[u].add(at)
-    chosen: list[str] = []
+                rows[u].append(at)
+    alike: dict[tuple[int, ...], str] = {}
     for u in sorted(passed, key=lambda u: (-passed[u], -len(u), u)):
-        if rows[u] not in (rows[c] for c in chosen[-3:]):
-            chosen.append(u)
-        if len(chosen) >= MOST_UNITS:
-            break
-    return chosen
+        alike.setdefault(tuple(rows[u]), u)
+    return list(alike.values())  # of units in the same rows, the longest
 
 
 @dataclass
@@ -113,7 +130,7 @@ class Model:
         """A function of a text, with a bounded memory of tokens."""
 
         def make(token: str) -> tuple[int, ...]:
-            return tuple({self.units[u] for w in WORD.findall(token) for u in units_of(w) if u in self.units})
+            return tuple({self.units[u] for w in words_in(token) for u in units_of(w) if u in self.units})
 
         known, n_units = BoundedCache(make, 400_000), len(self.units)
 
@@ -134,65 +151,131 @@ def pattern_votes(text: str, low: str) -> list[bool]:
     return [seed, seed and ADDRESS.search(text) is not None, ("*" in text or "@" in text) and MASKED.search(text) is not None, low.count("!") * 20 > len(low) > 0]
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior labels, rates of speaking (class, voter) and the voters' weights.
+def dependency_tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each voter, the voter it depends on, or -1: the tree of largest mutual information given the class.
 
-    A voter speaks (1) or not (0). Given the class, voters that go on agreeing beyond chance repeat one
-    another: their evidence is divided by one plus the sum of those correlations.
+    Voters that share no row are independent but for chance, so that only pairs that speak together are looked at.
+    """
+    n, parent = votes.shape[1], np.full(votes.shape[1], -1)
+    if n < 2:
+        return parent
+    information = np.zeros((n, n), np.float32)
+    for weight in (q, 1 - q):
+        total = weight.sum() + 1
+        both = ((votes * weight[:, None]).T @ votes + 0.25) / total
+        one = ((votes * weight[:, None]).sum(0) + 0.5) / total
+        cells = ((both, one[:, None], one), (one[:, None] - both, one[:, None], 1 - one), (one - both, 1 - one[:, None], one), (1 - one[:, None] - one + both, 1 - one[:, None], 1 - one))
+        for joint, left, right in cells:
+            joint = np.maximum(joint, 1e-9)
+            information += (total * joint * np.log(joint / (left * right))).astype(np.float32)
+    information[votes.T @ votes == 0] = 0
+    np.fill_diagonal(information, 0)
+    inside, best, by = np.zeros(n, bool), np.zeros(n, np.float32), np.full(n, -1)
+    for _ in range(n):  # the tree grows by the strongest edge to a voter outside it
+        at = int(np.argmax(np.where(inside, -1, best)))
+        inside[at], parent[at] = True, by[at]
+        better = ~inside & (information[at] > best)
+        best[better], by[better] = information[at][better], at
+    return parent
+
+
+def vote_rates(votes: np.ndarray, q: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """(class, parent's vote, voter): how often a voter speaks. Few rows are drawn towards the class's rate."""
+    rates = np.empty((2, 2, votes.shape[1]))
+    spoken = votes[:, np.maximum(parent, 0)] * (parent >= 0)
+    for label, weight in ((0, 1 - q), (1, q)):
+        plain = (weight @ votes + 0.5) / (weight.sum() + 1)
+        for vote in (0, 1):
+            own = weight[:, None] * (spoken == vote)
+            rates[label, vote] = ((own * votes).sum(0) + plain) / (own.sum(0) + 1)
+    return rates
+
+
+def log_odds(votes: np.ndarray, rates: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Log of P(votes | toxic) over P(votes | other) of each row."""
+    spoken = (votes[:, np.maximum(parent, 0)] * (parent >= 0)).astype(np.int8)
+    out = np.zeros(len(votes))
+    for vote in (0, 1):
+        yes, no = np.log(rates[1, vote] / rates[0, vote]), np.log((1 - rates[1, vote]) / (1 - rates[0, vote]))
+        out += ((spoken == vote) * (votes * yes + (1 - votes) * no)).sum(1)
+    return out
+
+
+def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]:
+    """Posterior labels, plain rates of speaking (class, voter), the voters' discounts and parents, and the labels' rates.
+
+    The given labels are one more voter, independent of the others given the class, whose accuracy is estimated
+    like theirs: where the others speak clearly, a label can be overruled. As weights of a linear score, the log-odds
+    of voters that agree beyond chance given the class are divided by one plus the sum of those correlations.
     """
+    votes = votes.astype(np.float32)
     q = np.where(gold == 1, GOLD_ACCURACY, 1 - GOLD_ACCURACY)
-    weight = np.ones(votes.shape[1])
-    gold_odds = np.where(gold == 1, 1, -1) * math.log(GOLD_ACCURACY / (1 - GOLD_ACCURACY))
-    rates = np.zeros((2, votes.shape[1]))
+    parent = np.full(votes.shape[1], -1)
+    rights = (0.5, 0.5)
     for step in range(rounds):
-        rates[1] = (votes.T @ q + 0.5) / (q.sum() + 1)
-        rates[0] = (votes.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1)
-        if step % 5 == 4 and votes.shape[1] > 1:
-            centred = votes - q[:, None] * rates[1] - (1 - q)[:, None] * rates[0]
-            scale = np.sqrt((centred**2).mean(0)) + 1e-9
-            corr = (centred.T @ centred) / len(votes) / np.outer(scale, scale)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.maximum(0, corr - 0.1).sum(1))
-        odds = math.log(prior / (1 - prior)) + gold_odds + (votes * (np.log(rates[1] / rates[0]) * weight) + (1 - votes) * (np.log((1 - rates[1]) / (1 - rates[0])) * weight)).sum(1)
+        if step in (0, rounds // 2):
+            parent = dependency_tree(votes, q)
+        rights = tuple((float(w @ gold) + 0.5) / (float(w.sum()) + 1) for w in (1 - q, q))
+        label_odds = np.where(gold == 1, math.log(rights[1] / rights[0]), math.log((1 - rights[1]) / (1 - rights[0])))
+        odds = math.log(prior / (1 - prior)) + label_odds + log_odds(votes, vote_rates(votes, q, parent), parent)
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, rates, weight
+    plain = vote_rates(votes, q, np.full(votes.shape[1], -1))[:, 0]
+    centred = votes - q[:, None] * plain[1] - (1 - q)[:, None] * plain[0]
+    scale = np.sqrt((centred**2).mean(0)) + 1e-9
+    corr = (centred.T @ centred) / max(1, len(votes)) / np.outer(scale, scale)
+    np.fill_diagonal(corr, 0)
+    return q, plain, 1 / (1 + np.maximum(0, corr - 0.1).sum(1)), parent, rights
 
 
-def logistic(x: np.ndarray, q: np.ndarray, l2: float = 0.3, rounds: int = 30) -> np.ndarray:
-    """Weights and, last, the bias, by Newton steps on soft labels."""
+def logistic(x: np.ndarray, q: np.ndarray, centre: np.ndarray | None = None, l2: float = 0.3, rounds: int = 60) -> np.ndarray:
+    """Weights and, last, the bias, by Newton steps on soft labels; weights are drawn to ``centre`` (zero if not given)."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    target = np.zeros(x.shape[1])
+    if centre is not None:
+        target[:-1] = centre
     ridge = np.full(x.shape[1], l2)
     ridge[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - q * z).sum() + (ridge * (w - target) ** 2).sum() / 2)
+
+    w = target.copy()
+    w[-1] = math.log(max(q.mean(), 1e-4) / max(1 - q.mean(), 1e-4))
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (q - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-4:
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (q - p) - ridge * (w - target))
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > now:
+            size /= 2
+        w, now = w + size * step, loss(w + size * step)
+        if np.abs(size * step).max() < 1e-4:
             break
     return w
 
 
 def fit(texts: list[str], toxic: list[int], prior: float | None = None) -> Model:
     """``prior``: the share of toxic rows among all labelled ones, where the sample's differs."""
+    return fit_words([words_of(t) for t in texts], [pattern_votes(t, t.lower()) for t in texts], toxic, prior)
+
+
+def fit_words(sets: list[set[str]], patterns: list[list[bool]], toxic: list[int], prior: float | None = None) -> Model:
+    """As :func:`fit`, from the distinct words and pattern votes of each text."""
     gold = np.array(toxic, np.int64)
-    sets = [words_of(t) for t in texts]
-    units = choose_units(sets, gold)
-    index = {u: i for i, u in enumerate(units)}
-    votes = np.zeros((len(texts), len(units) + len(PATTERNS)))
-    for row, (text, words) in enumerate(zip(texts, sets, strict=True)):
-        for w in words:
-            for u in units_of(w):
-                if u in index:
-                    votes[row, index[u]] = 1
-        votes[row, len(units) :] = pattern_votes(text, text.lower())
     if not 0 < gold.sum() < len(gold):
         weights = np.zeros(len(PATTERNS))
         weights[0] = 6.0
         return Model({}, weights, -4.0)
+    units = choose_units(sets, gold)
+    index = {u: i for i, u in enumerate(units)}
+    votes = np.zeros((len(sets), len(units) + len(PATTERNS)), np.float32)
+    for row, (words, own) in enumerate(zip(sets, patterns, strict=True)):
+        votes[row, [index[u] for w in words for u in units_of(w) if u in index]] = 1
+        votes[row, len(units) :] = own
     share = gold.mean()
-    q, rates, _ = label_model(votes, gold, share)
-    w = logistic(votes, q)
+    q, rates, discounts, _, _ = label_model(votes, gold, share)
+    w = logistic(votes.astype(np.float64), q, np.log(rates[1] / rates[0]) * discounts)
     real = min(max(prior if prior is not None else share, 1e-4), 1 - 1e-4)
     shift = math.log(real / (1 - real)) - math.log(share / (1 - share))
     names = [*units, *PATTERNS]
@@ -212,15 +295,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     hashed = own.withColumn("h", F.xxhash64("doc_id"))
     picked = [hashed.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(sample_rows) for c in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]).select("doc_id", "toxic"))  # at most twice sample_rows ids
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(picked, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(picked, "doc_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            columns = [pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string())), pa.array([pattern_votes(t, t.lower()) for t in texts], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], names=["doc_id", "words", "patterns", "toxic"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    words = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(read, f"doc_id {kind}, words array<string>, patterns array<boolean>, toxic int")
+    sample = words.groupBy("doc_id").agg(F.max(F.struct("words", "patterns")).alias("x"), F.max("toxic").alias("toxic")).collect()  # at most twice sample_rows rows, of distinct words
+    sample.sort(key=lambda r: r["doc_id"])
     total = sum(counts.values())
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else None)
+    return fit_words([set(r["x"]["words"]) for r in sample], [r["x"]["patterns"] for r in sample], [r["toxic"] for r in sample], counts.get(1, 0) / total if total else None)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns in ``keep`` and the score as ``name``: a map over rows, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.units, model.weights, model.bias))  # at most MOST_UNITS units
+    shared = docs.sparkSession.sparkContext.broadcast((model.units, model.weights, model.bias))  # units of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Model(*shared.value).scorer()

@@ -73,6 +73,28 @@ def test_covering_masks():
         assert any(flips & m == 0 for m in masks)
 
 
+def test_chunk_masks():
+    rng = random.Random(9)
+    for mask in simhash.covering_masks(4):
+        parts = simhash.chunk_masks(mask, 4)
+        assert mask | sum(parts) == (1 << 64) - 1 and mask & sum(parts) == 0
+        free = [i for i in range(64) if not mask >> i & 1]
+        for _ in range(50):
+            flips = sum(1 << i for i in rng.sample(free, rng.randint(0, 4)))
+            assert any(flips & p == 0 for p in parts)
+
+
+def test_bloom_filter_in_blocks():
+    from array import array
+
+    hashed = array("Q", [sstable._hash(str(i).encode()) for i in range(3000)])
+    bits = 3000 * sstable.BITS_PER_KEY
+    made = sstable._bloom_filter(hashed, bits)
+    there = lambda h: all(made[p >> 3] >> (p & 7) & 1 for p in sstable._bloom_places(h, bits, sstable.HASHES))
+    assert all(map(there, hashed)) and sum(there(sstable._hash(f"no{i}".encode())) for i in range(3000)) < 100
+    assert sstable.open_store("file:///tmp")[1] == "/tmp"
+
+
 def test_fingerprint_by_counting():
     text = "The quick\tbrown fox JUMPS over\nthe lazy dog ünd more"
     words = text.encode().lower().split()
@@ -114,14 +136,71 @@ def test_media():
         assert len(payload) % 192 == 0 and len(payload) >= 192 and payload[:n].decode() == (text or "")
         back, rate = media.from_wav(media.to_wav(payload))
         assert back == payload
-        assert media.summary(*media.features(back, rate)) == media.summary(*media.features(payload, rate))
+        (first, second), (third, fourth) = media.features(back, rate), media.features(payload, rate)
+        assert (first == third).all() and second == fourth
     x = np.sin(np.arange(4001) / 9)
-    assert np.allclose(media.halve(x), media.resample(x, 1, 2))
-    full = np.convolve(x, media.low_pass(1, 2, 32))[: len(x)][::2]
-    assert np.allclose(media.halve(x), full)
+    for up, down in ((1, 2), (3, 2), (2, 3), (1, 1)):
+        raised = np.zeros(len(x) * up)
+        raised[::up] = x
+        full = np.convolve(raised, media.low_pass(up, down, 32))[: len(raised)][::down]
+        assert np.allclose(media.resample(x, up, down), full)
+        assert np.allclose(media.resample(x, up, down, start=777, stop=1501), full[777:1501])
     assert media.active_spans(np.array([0.0] * 30 + [30.0] * 30 + [0.0] * 30)) != []
 
 
+def test_frames_against_a_plain_transform(monkeypatch):
+    """Each frame by sums over sines; the blocks it is made in change nothing."""
+    rng = np.random.default_rng(1)
+    samples = rng.integers(0, 256, 3001, np.uint8).tobytes()
+    whole = np.concatenate(list(media.log_mel_blocks(samples, 16_000)))
+    monkeypatch.setattr(media, "BLOCK_FRAMES", 3)
+    assert np.allclose(np.concatenate(list(media.log_mel_blocks(samples, 16_000))), whole)
+    x = np.frombuffer(samples, np.uint8).astype(float)
+    y = media.resample((x - x.mean()) / 128)
+    assert len(whole) == -(-(len(y) - media.WINDOW) // media.HOP) + 1
+    n, mel = media.WINDOW, lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(20), mel(4000), media.MELS + 2)]
+    for at in (0, 5, len(whole) - 1):
+        window = np.zeros(n)
+        own = y[at * media.HOP :][:n]
+        window[: len(own)] = own * [0.5 - 0.5 * np.cos(2 * np.pi * i / n) for i in range(len(own))]
+        power = [abs(sum(window[i] * np.exp(-2j * np.pi * k * i / n) for i in range(n))) ** 2 for k in range(n // 2 + 1)]
+        for band in range(media.MELS):
+            low, mid, high = edges[band : band + 3]
+            total = sum(p * max(0.0, min((k * 40 - low) / (mid - low), (high - k * 40) / (high - mid))) for k, p in enumerate(power))
+            assert whole[at, band] == pytest.approx(np.log10(total + 1e-10), abs=1e-6)
+
+
+def test_spans_against_a_plain_walk():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 8, 200):
+        energy = np.repeat(rng.normal(0, 3, n), 4)[:n]
+        width = min(media.SMOOTH, n)
+        smooth = np.convolve(energy, np.full(width, 1 / width), "same")
+        mean, on, want = smooth.mean(), False, []
+        for i, v in enumerate(smooth):
+            if not on and v > mean + media.ON_DB:
+                on = True
+                want.append([i, n])
+            elif on and v < mean + media.OFF_DB:
+                on, want[-1][1] = False, i
+        assert media.active_spans(energy) == [tuple(x) for x in want]
+
+
+def test_stored_tensors():
+    import pyarrow as pa
+
+    texts = ["", "x" * 3000, "ü y" * 9000, None]
+    got = list(media.read_group(*media.store_group(pa.array([4, None, 2, 3]), texts)))
+    assert [g[0].as_py() for g in got] == [4, None, 2, 3]
+    for text, (_, n_bytes, wav, mel, spans, times) in zip(texts, got, strict=True):
+        payload, n = media.payload_of(text)
+        frames, active = media.features(payload, media.RATE)
+        assert n == n_bytes and media.from_wav(wav) == (payload, media.RATE) and (mel == frames).all()
+        assert spans == [media.seconds(a, b, media.RATE) for a, b in active] and sum(t[2] for t in times) == len(frames)
+        assert times[0][0] == 0 and all(a < b for a, b, _ in times)
+
+
 def _plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -255,3 +334,59 @@ def test_toxicity_learns_words_and_stems():
     clean = " ".join(rng.choices(vocabulary, k=30))
     assert score(clean) < 0.3 and score("") < 0.3 and score(f"{clean} zorgle, {clean}") >= 0.3 and score(f"{clean} QUIBBxyz!") >= 0.3
     assert toxicity.fit(["idiot", "fine"], [0, 0]).scorer()("you idiot") >= 0.3
+
+
+def test_label_model_against_enumeration():
+    """With the tree's rates, the chances of all vote vectors sum to 1 in each class, and log-odds are their ratio."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    votes = (rng.random((200, 5)) < 0.4).astype(np.float32)
+    votes[:, 3] = np.where(rng.random(200) < 0.9, votes[:, 1], votes[:, 3])
+    q = rng.random(200)
+    parent = toxicity.dependency_tree(votes, q)
+    assert (parent[3] == 1 or parent[1] == 3) and (parent == -1).sum() >= 1
+    rates = toxicity.vote_rates(votes, q, parent)
+    every = np.array(list(itertools.product((0, 1), repeat=5)), np.float32)
+
+    def chance(row, label):
+        out = 1.0
+        for i, v in enumerate(row):
+            r = rates[label, int(row[parent[i]]) if parent[i] >= 0 else 0, i]
+            out *= r if v else 1 - r
+        return out
+
+    assert [sum(chance(r, c) for r in every) for c in (0, 1)] == pytest.approx([1, 1])
+    assert np.allclose(toxicity.log_odds(every, rates, parent), [np.log(chance(r, 1) / chance(r, 0)) for r in every], atol=1e-4)
+
+
+def test_voters_overrule_wrong_labels():
+    rng = np.random.default_rng(6)
+    truth = rng.random(3000) < 0.3
+    votes = np.stack([np.where(truth, rng.random(3000) < 0.7, rng.random(3000) < 0.03) for _ in range(6)], 1).astype(np.float32)
+    wrong = rng.random(3000) < 0.15
+    q, rates, discounts, _, rights = toxicity.label_model(votes, np.where(wrong, ~truth, truth).astype(int), 0.34)
+    assert ((q > 0.5) == truth)[wrong].mean() > 0.9 and ((q > 0.5) == truth).mean() > 0.97
+    assert rights[1] == pytest.approx(0.85, abs=0.04) and rights[0] == pytest.approx(0.15, abs=0.04)
+    assert np.allclose(rates[1], 0.7, atol=0.05) and np.allclose(rates[0], 0.03, atol=0.03)
+    twice = np.hstack([votes, votes[:, :1]])
+    assert toxicity.label_model(twice, truth.astype(int), 0.3)[2][0] < 0.6 < discounts.min()
+
+
+def test_logistic_is_at_its_best():
+    rng = np.random.default_rng(7)
+    x, q, centre = (rng.random((300, 4)) < 0.3).astype(float), rng.random(300), np.array([1.0, -2, 0, 3])
+    w = toxicity.logistic(x, q, centre)
+    z = x @ w[:-1] + w[-1]
+    slope = x.T @ (q - 1 / (1 + np.exp(-z))) - 0.3 * (w[:-1] - centre)
+    assert np.abs(slope).max() < 1e-3
+
+
+def test_toxic_words_without_spaces():
+    rng = random.Random(3)
+    signs = "天地人山水火木金土日月星风云雨雪"
+    texts = ["".join(rng.choices(signs, k=40)) for _ in range(400)]
+    for i in range(0, 400, 5):
+        texts[i] = texts[i][:13] + "混蛋" + texts[i][13:]
+    score = toxicity.fit(texts, [int(i % 5 == 0) for i in range(400)]).scorer()
+    assert score("天地人混蛋山水") >= 0.3 > score("天地人山水")

@@ -1,8 +1,10 @@
 import hashlib
 import itertools
+import os
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +247,26 @@ def test_near_duplicates_by_brute_force(spark, odd_docs):
     assert len(kept) == len({find(p) for p in root})
 
 
+def test_large_buckets_are_dealt_out_anew(spark):
+    """Components stay the same when every bucket counts as large, and where one spans many batches."""
+    import random
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    members = {b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(30)}
+    members |= {rng.getrandbits(20) << 44 for _ in range(300)}
+    frame = spark.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in members], "fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = []
+        for most in (1, 5, 1_000_000):
+            got = components.connected_components(simhash.fingerprint_links(frame, most=most)).collect()
+            found.append(sorted((r["node"], r["root"]) for r in got))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 300
+
+
 def test_media_and_bpe_on_odd_rows(odd_docs, no_docs):
     for build in (media.media_digests, lambda d: bpe.encode_digests(d, RANKS, public_tokenizers.PATTERN)):
         assert build(odd_docs).count() == odd_docs.count() and build(no_docs).count() == 0
@@ -252,8 +274,11 @@ def test_media_and_bpe_on_odd_rows(odd_docs, no_docs):
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
     by_text = media.media_digests(odd_docs.where("doc_id in (6, 7)")).select("feature", "media_sha256").distinct()
     assert by_text.count() == 1
-    frames = media.media_frames(odd_docs.where("doc_id = 3")).collect()
-    assert all(len(f["mel"]) == media.MELS and f["end_s"] > f["start_s"] for f in frames)
+    frames = media.media_frames(odd_docs.where("doc_id = 5")).collect()
+    for f in frames:
+        read = pa.ipc.open_stream(f["mel"]).read_all()
+        assert read.schema.field("mel").type == media.TENSOR and f["end_s"] > f["start_s"] and 0 <= f["active"] <= 1
+    assert sum(f["n_frames"] for f in frames) == len(media.features(media.payload_of(odd_docs.where("doc_id = 5").first()["text"])[0], media.RATE)[0])
 
 
 def test_shards(spark, odd_docs, no_docs):
@@ -265,6 +290,27 @@ def test_shards(spark, odd_docs, no_docs):
     assert sstable.shard_digests(no_docs, WORDS, 1).count() == 0
 
 
+def test_shards_against_the_library(spark, monkeypatch):
+    """Starts, counts and crc of every document, as the tokenizers library has them, over many shards with repeated ids."""
+    import random
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sstable, "LEAST_SHARD_BYTES", 2000)
+    rng = random.Random(7)
+    rows = [(rng.randint(-40, 200) if i % 3 else 77, " ".join(rng.choices(["One", "two", "três", "字", "4", "\n", "x-y"], k=rng.randint(0, 30)))) for i in range(300)]
+    got = sorted(sstable.shard_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS, 1).collect(), key=lambda r: r["start"])
+    tokenizer, want = Tokenizer.from_file(WORDS), []
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        want.append((doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(want)
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
+    assert got[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in itertools.pairwise(got))
+
+
 def test_pages(spark):
     site = "<div>Site line</div>{}<div>Imprint of the site</div>"
     rows = [(i, f"http://h.com/a/{i}", site.format(f"<p>Own text number {i} with several words of its own {i * 7}</p>")) for i in range(5)]
@@ -390,6 +436,19 @@ def test_labels_and_languages_on_odd_rows(spark, odd_docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_held_out_quality(spark):
+    """Held-out rows of 10,000 documents: toxic ones found, clean ones left alone, languages told apart."""
+    rows = queries.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = {(r["toxic"], r["predicted"]): r["count"] for r in rows.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert got[1, 1] >= 0.9 * (got[1, 1] + got.get((1, 0), 0)) and got.get((0, 1), 0) <= 0.01 * got[0, 0], got
+    lang = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang")
+    found = queries.op8_language_id(spark, "/root/testdata/sf0.1").where("held_out").join(lang, "doc_id").where("lang is not null")
+    right, total = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
+    assert right >= 0.98 * total > 0, (right, total)
+
+
 def test_toxicity_sample_is_that_of_the_published_recall():
     assert toxicity.SAMPLE_ROWS == 3000
 
@@ -409,6 +468,60 @@ def test_pipeline_stages_keep_columns(spark, odd_docs, no_docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_against_plain_versions(spark, tmp_path):
+    """Every stage over a few hundred rows, held against a plain version of what it is to keep or change."""
+    import random
+
+    import tiktoken
+
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(500)]
+    items = [" ".join(rng.choices(words, k=22)) for _ in range(8)]
+    rows, labels = [], []
+    for i in range(260):
+        own = rng.choices(words, k=rng.randint(60, 160))
+        if i % 9 == 0:
+            own[30:30] = rng.sample(["zorgle", "quibbix", "flarn"], 2)
+        labels.append((i, 1, int(i % 9 == 0)))
+        if i % 11 == 1:
+            own[7:7] = items[i % 8].split()
+        if i % 7 == 2:
+            own[9] = f"token={rng.randbytes(15).hex()}"
+        if i % 13 == 3:
+            own[9] = "password=copied-everywhere"
+        rows.append((i, " ".join(own), "en", f"src{i % 5}", 1))
+    for i in range(5, 40, 3):
+        rows.append((1000 + i, rows[i][1], "en", "src0", 1))
+        rows.append((2000 + i, rows[i][1].replace(" ", "\n", 3), "en", "src1", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    score = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).scorer()
+    kept = [r for r in rows if score(r[1]) < 0.3]
+    assert {r[0] for r in rows} - {r[0] for r in kept} == {r[0] for r in rows if sum(w in r[1] for w in ("zorgle", "quibbix", "flarn")) == 2}
+    prints = {r[0]: simhash.fingerprint(r[1]) for r in kept}
+    group = {i: i for i in prints}
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4 and group[a] != group[b]:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {i: new if g == old else g for i, g in group.items()}
+    kept = [r for r in kept if group[r[0]] == r[0]]
+    assert max(r[0] for r in kept) < 1000
+    kept = [r for r in kept if not any(item in " ".join(r[1].split()) for item in items)]
+    owners = {}
+    for r in kept:
+        for m in re.finditer("(?:token|password)=([A-Za-z0-9+/_.=-]+)", r[1]):
+            owners.setdefault(m[1], set()).add(r[3])
+    assert max(map(len, owners.values())) >= 3
+    masked = [(r[0], re.sub("(?:token|password)=([A-Za-z0-9+/_.=-]+)", lambda m: "<secret>" if len(owners[m[1]]) < 3 else m[0], r[1])) for r in kept]
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted((i, theirs.encode_ordinary(t)) for i, t in masked)
+    assert all(r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(dict(masked)[r["doc_id"]].encode()).hexdigest() for r in got)
+
+
 def test_one_query_for_each_operator():
     names = queries.queries()
     assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
