@@ -355,13 +355,8 @@ def variants(short: bool) -> dict[str, str]:
 
 
 def regions() -> dict[str, str]:
-    """Code, name or word of a name to region code; a word that several names have goes to the first of them."""
-    found: dict[str, str] = {}
-    for line in REGIONS.strip().splitlines():
-        code, _, names = line.partition(": ")
-        found[code] = code
-        for name in names.split(", "):
-            found[name] = code
-            for word in name.split():
-                found.setdefault(word, code)
-    return found
+    """Spelling to region code. A code or whole name is its region's; a word of names, of the first region that has it."""
+    lines = [line.partition(": ") for line in REGIONS.strip().splitlines()]
+    whole = [(spelling, code) for code, _, names in lines for spelling in (code, *names.split(", "))]
+    words = [(word, code) for spelling, code in whole for word in spelling.split()]
+    return dict(reversed(words)) | dict(whole)

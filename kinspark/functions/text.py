@@ -17,8 +17,8 @@ def is_null(c) -> Column:
     return F.coalesce(F.lower(F.trim(_col(c))), F.lit("")).isin(*tables.NULLISH)
 
 
-def letters_and_digits(c) -> Column:
-    return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9 ]+", " ")
+def letters_and_digits(c, letters: str = "a-z0-9") -> Column:
+    return F.regexp_replace(F.lower(_col(c)), f"[^{letters} ]+", " ")
 
 
 def collapse_runs(c) -> Column:
@@ -85,18 +85,30 @@ def canonical_tokens(words: Column, short: bool) -> Column:
     return F.transform(F.transform(words, _unconfuse), each)
 
 
+#: Older forms of the normaliser, as options of :func:`normalize`.
+NORMALISERS = {
+    "plain": {"canon": False, "drop_legal": False, "drop_stop": False},
+    "kernel": {"canon": False},
+    "one-table": {"country": None},
+    "profile": {"canon": False, "collapse": False, "drop_legal": False, "drop_stop": False, "letters": "a-z0-9\u0900-\u097f"},
+    "vowels": {"country": None, "vowels": True},
+}
+
+
 def strip_words(c: Column, words) -> Column:
     return F.regexp_replace(c, rf"\b({'|'.join(words)})\b", " ")
 
 
-def normalize(c, country=None, canon: bool = True, collapse: bool = True, drop_legal: bool = True, drop_stop: bool = True, fold=None) -> Column:
+def normalize(c, country=None, canon: bool = True, collapse: bool = True, drop_legal: bool = True, drop_stop: bool = True, fold=None, letters: str = "a-z0-9", vowels: bool = False) -> Column:
     """The normalised form. ``fold``: a function of a Column applied first (see :mod:`kinspark.functions.unicode`).
 
+    ``letters``: what is kept, as of a character class; ``vowels``: all vowels become one, runs of it too.
+
     ``country`` decides whether short variants apply; None: never. What would become empty keeps its form
     from before words were stripped.
     """
     text = F.coalesce(_col(c), F.lit(""))
-    out = letters_and_digits(fold(text) if fold else text)
+    out = letters_and_digits(fold(text) if fold else text, letters)
     if collapse:
         out = collapse_runs(out)
     before = squeeze(out)
@@ -109,6 +121,8 @@ def normalize(c, country=None, canon: bool = True, collapse: bool = True, drop_l
         out = strip_words(out, tables.LEGAL)
     if drop_stop:
         out = strip_words(out, tables.STOP)
+    if vowels:
+        out, before = (F.regexp_replace(x, "[aeiou]+", "a") for x in (out, before))
     return F.when(is_null(text), "").otherwise(F.coalesce(F.nullif(squeeze(out), F.lit("")), before))
 
 

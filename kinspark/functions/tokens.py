@@ -51,13 +51,16 @@ def tfidf(docs: DataFrame, terms: str, id_col: str, by: tuple[str, ...], fit: Da
     """``by..., id_col, term, w``: smoothed idf ln((1+n)/(1+df))+1 times term count, each document of length one.
 
     ``fit``: the documents whose frequencies count (all of ``docs`` if None). Terms in more than ``max_df`` of
-    them go (at least 2 may hold any term), which is also what keeps the later join on terms from skew.
+    them go (at least 2 may hold any term), which is also what keeps the later join on terms from skew. Of the
+    others, those that come most often stay, up to ``max_features``.
     """
     fit = docs if fit is None else fit
     size = fit.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"))
     df = document_frequency(fit, terms, by).join(size, list(by)).where((F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(2.0), F.floor(F.lit(max_df) * F.col("n_docs")))))
     if max_features:
-        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("df"), "term"))).where(F.col("_r") <= max_features).drop("_r")
+        often = fit.select(*by, F.explode(terms).alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = df.join(often, [*by, "term"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_n"), "term")))
+        df = ranked.where(F.col("_r") <= max_features).drop("_r", "_n")
     idf = df.select(*by, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = docs.select(*by, id_col, F.explode(terms).alias("term")).groupBy(*by, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     if binary:

@@ -17,7 +17,7 @@ CONSONANTS = {"NGA": "ng", "NYA": "ny", "NNA": "nn", "TTA": "tt", "TTHA": "tth",
 
 @lru_cache(100_000)
 def _letter(c: str) -> tuple[str, str]:
-    """Latin spelling and kind (consonant, vowel, sign, kill, other), read off the character's Unicode name."""
+    """Latin spelling and kind (consonant, vowel, sign, kill, nasal, mark, other), read off the character's Unicode name."""
     if c.isascii():
         return c, "other"
     if c in LATIN:
@@ -35,8 +35,10 @@ def _letter(c: str) -> tuple[str, str]:
         return CONSONANTS.get(own, own[:-1].lower() if own.endswith("A") else own.lower()), "consonant"
     if "VOWEL SIGN" in name:
         return name.rpartition("SIGN ")[2].replace("VOCALIC ", "").lower(), "sign"
-    if "ANUSVARA" in name or "BINDI" in name:
-        return "n", "other"
+    if any(sign in name for sign in ("ANUSVARA", "BINDI", "BINDU", "TIPPI")):
+        return "n", "nasal"
+    if "NUKTA" in name:
+        return "", "mark"
     if "DIGIT" in name:
         return str(unicodedata.digit(c, "")), "other"
     return ("", "other") if unicodedata.category(c).startswith("M") else (" ", "other")
@@ -51,6 +53,8 @@ def to_latin(text: str) -> str:
     pending = False
     for c in text:
         spelled, kind = _letter(c)
+        if kind == "mark":  # it belongs to the consonant before it
+            continue
         if pending and kind not in ("sign", "kill") and kind != "other":
             out.append("a")
         pending = kind == "consonant"

@@ -99,6 +99,11 @@ def union_candidates(*passes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def build_candidates(passes: dict[str, DataFrame], floors: dict[str, float], k: int) -> DataFrame:
+    """``q, c, source`` of scored passes: of each, pairs of at least its floor of ``sim``, the best ``k`` a group, then all once."""
+    return union_candidates(*(top_k(frame.where(F.col("sim") >= floors.get(name, 0.0)).drop("rn"), k) for name, frame in passes.items()))
+
+
 def block(records: DataFrame, preset: Preset, k: int | None = None) -> DataFrame:
     """The union of a preset's signals."""
     own = replace(preset, k=k or preset.k)
@@ -117,30 +122,54 @@ def signal_masks(passes: dict[str, DataFrame]) -> DataFrame:
 def evaluate(candidates: DataFrame, truth: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Recall, misses, ceiling and size of candidates, for each value of the columns ``by`` that candidates have.
 
-    ``queries``: (q), every entity asked about. The ceiling is the mean F0.5 of a matcher that keeps just the
+    ``queries``: (q), every entity asked about; candidates of others don't count. The ceiling is the mean F0.5 of a matcher that keeps just the
     true candidates.
     """
     per_q = candidates.groupBy(*by, "q").agg(F.count(F.lit(1)).alias("n_cand"))
     hits = candidates.join(truth, ["q", "c"]).groupBy(*by, "q").agg(F.count(F.lit(1)).alias("tp"))
     true = truth.groupBy("q").agg(F.count(F.lit(1)).alias("n_true"))
-    base = queries.select("q").join(true, "q", "left")
-    if by:
-        base = candidates.select(*by).distinct().join(base, F.lit(True))  # a row for each configuration and entity, as the report needs
-    full = base.join(per_q, [*by, "q"], "left").join(hits, [*by, "q"], "left").fillna(0, ["n_true", "n_cand", "tp"])
+    base = queries.select("q").join(true, "q", "left").fillna(0, ["n_true"])
     recall = F.col("tp") / F.col("n_true")
     best = F.when(F.col("n_true") == 0, 1.0).when(F.col("tp") == 0, 0.0).otherwise(1.25 * recall / (0.25 + recall))
-    out = full.groupBy(*by) if by else full.groupBy()
-    return out.agg(
-        F.sum("tp").alias("tp"),
-        (F.sum("n_true") - F.sum("tp")).alias("fn"),
-        F.round(F.coalesce(F.try_divide(F.sum("tp"), F.sum("n_true")), F.lit(0.0)), 6).alias("recall"),
-        F.round(F.avg(best), 6).alias("max_macro_f05"),
-        F.round(F.avg((F.col("tp") == F.col("n_true")).cast("double")), 6).alias("complete_share"),
-        F.sum("n_cand").alias("candidates"),
-        F.round(F.sum("n_cand") / F.count(F.lit(1)), 6).alias("cand_per_entity"),
+    zero, single = F.lit(0), (F.col("n_true") == 0).cast("long")
+    met = per_q.join(base, "q").join(hits, [*by, "q"], "left").fillna(0, ["tp"])
+    # Entities without candidates count alike under every configuration: they enter as totals, not as rows.
+    some = met.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("n_cand").alias("candidates"), F.sum(best).alias("best"), F.sum((F.col("tp") == F.col("n_true")).cast("long")).alias("complete"), F.sum(single).alias("singles"))
+    total = base.agg(F.count(F.lit(1)).alias("n"), F.sum("n_true").alias("n_true"), F.sum(single).alias("all_singles"))
+    out = some.join(F.broadcast(total), F.lit(True))  # one row
+    part = lambda name: F.coalesce(name, zero)
+    left_out = F.col("all_singles") - part("singles")
+    return out.select(
+        *by,
+        part("tp").alias("tp"),
+        (F.col("n_true") - part("tp")).alias("fn"),
+        F.round(F.coalesce(F.try_divide(part("tp"), F.col("n_true")), F.lit(0.0)), 6).alias("recall"),
+        F.round((F.coalesce("best", F.lit(0.0)) + left_out) / F.col("n"), 6).alias("max_macro_f05"),
+        F.round((part("complete") + left_out) / F.col("n"), 6).alias("complete_share"),
+        part("candidates").alias("candidates"),
+        F.round(part("candidates") / F.col("n"), 6).alias("cand_per_entity"),
     )
 
 
+def evaluate_by_country(candidates: DataFrame, truth: DataFrame, records: DataFrame) -> DataFrame:
+    """``country, n_true, tp, recall, candidates, entities`` of source-1 entities; recall is null where a country has no true pair."""
+    own = records.where("source = 'S1'").select(F.col("entity_id").alias("q"), "country")
+    cand = candidates.select("q", "c").distinct().withColumn("hit", F.lit(1))
+    sizes = cand.groupBy("q").agg(F.count(F.lit(1)).alias("candidates"))
+    true = truth.join(cand, ["q", "c"], "left").groupBy("q").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("tp"))
+    full = own.join(sizes, "q", "left").join(true, "q", "left").fillna(0, ["candidates", "n_true", "tp"])
+    out = full.groupBy("country").agg(F.sum("n_true").alias("n_true"), F.sum("tp").alias("tp"), F.sum("candidates").alias("candidates"), F.count(F.lit(1)).alias("entities"))
+    return out.select("country", "n_true", "tp", F.round(F.try_divide("tp", "n_true"), 6).alias("recall"), "candidates", "entities")
+
+
+def reduction_ratio(candidates: DataFrame, records: DataFrame) -> DataFrame:
+    """``candidates, comparisons, reduction_ratio``: the share of all comparisons within a country that blocking saves."""
+    by_country = records.groupBy("country").agg(F.sum((F.col("source") == "S1").cast("long")).alias("asked"), F.sum((F.col("source") != "S1").cast("long")).alias("others"))
+    every = by_country.agg(F.sum(F.col("asked") * F.col("others")).alias("comparisons"))
+    out = candidates.agg(F.count(F.lit(1)).alias("candidates")).join(F.broadcast(every), F.lit(True))  # one row each
+    return out.select("candidates", "comparisons", F.round(F.lit(1.0) - F.col("candidates") / F.col("comparisons"), 6).alias("reduction_ratio"))
+
+
 def smoke_index(records: DataFrame, truth: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """A small index for trial runs: all true matches and about ``share`` of the other records."""
     part = F.pmod(F.xxhash64(F.lit(seed), F.col("entity_id")), F.lit(1_000_000)) < int(share * 1_000_000)

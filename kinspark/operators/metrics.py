@@ -51,14 +51,19 @@ def report(chosen: DataFrame, candidates: DataFrame, truth: DataFrame, queries:
 
 
 def threshold_sweep(scored: DataFrame, thresholds: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
-    """``th, macro_f05, n_pred`` for each threshold (column th): one pass over the pairs, expanded by a small broadcast table."""
-    labelled = scored.join(truth.select("q", "c", F.lit(1).alias("y")), ["q", "c"], "left")
-    chosen = labelled.join(F.broadcast(thresholds), F.col("p") >= F.col("th"))
-    counts = chosen.groupBy("th", "q").agg(F.count(F.lit(1)).alias("n_pred"), F.count("y").alias("tp"))
+    """``th, macro_f05, n_pred`` for each threshold (column th; a few numbers, which come to the driver).
+
+    Pairs are counted once, by entity and the highest threshold they reach. An entity's counts at a threshold are
+    sums over its bins from there up, taken within its one row, so that no pair is copied per threshold.
+    """
+    ths = sorted({r["th"] for r in thresholds.select("th").collect()})
+    bins = sum((F.when(F.col("p") >= th, 1).otherwise(0) for th in ths), F.lit(0))
+    labelled = scored.join(truth.select("q", "c", F.lit(1).alias("y")), ["q", "c"], "left").withColumn("bin", bins).where("bin > 0")
+    counts = labelled.groupBy("q").agg(*(F.sum(F.when(F.col("bin") > i, n).otherwise(0)).alias(f"{name}{i}") for i in range(len(ths)) for name, n in (("n", F.lit(1)), ("t", F.when(F.col("y").isNotNull(), 1).otherwise(0)))))
     true = truth.groupBy("q").agg(F.count(F.lit(1)).alias("n_true"))
-    base = queries.select("q").join(true, "q", "left").join(F.broadcast(thresholds), F.lit(True))  # a row for each threshold
-    full = base.join(counts, ["th", "q"], "left").fillna(0)
-    return full.groupBy("th").agg(F.round(F.avg(f_half(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("macro_f05"), F.sum("n_pred").alias("n_pred"))
+    full = queries.select("q").join(true, "q", "left").join(counts, "q", "left").fillna(0)
+    each = full.agg(*(x for i in range(len(ths)) for x in (F.avg(f_half(F.col(f"t{i}"), F.col(f"n{i}"), F.col("n_true"))).alias(f"f{i}"), F.sum(f"n{i}").alias(f"s{i}"))))
+    return each.select(F.explode(F.array(*(F.struct(F.lit(th).alias("th"), F.round(f"f{i}", 6).alias("macro_f05"), F.col(f"s{i}").alias("n_pred")) for i, th in enumerate(ths)))).alias("x")).select("x.*")
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.operators import decide
+from kinspark.operators import decide, metrics
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ PRESETS = {"v1": TreePreset(least=100), "v2": TreePreset(depth=6, least=80), "sp
 
 def bucket(key: str, n: int, seed: int = 42) -> Column:
     """A stable number below ``n`` for each entity."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).cast("int")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(n)).cast("int")
 
 
 def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def without_relative(features: list[str]) -> list[str]:
 
 def out_of_fold(rows: DataFrame, features: list[str], k: int = 3, preset: TreePreset = PRESETS["v2"]) -> DataFrame:
     """Rows with ``p`` from the model of the other folds; folds are by entity."""
-    folded = rows.withColumn("_fold", bucket("q", k)).persist()
+    folded = rows.withColumn("_fold", bucket("q", k))
     out = None
     for fold in range(k):
         model = train(folded.where(F.col("_fold") != fold).drop("validation"), features, preset)
@@ -98,6 +99,21 @@ def out_of_fold(rows: DataFrame, features: list[str], k: int = 3, preset: TreePr
     return out.drop("_fold")
 
 
+def specialist(scored: DataFrame, features: list[str], low: float = 0.05, high: float = 0.95, preset: TreePreset = PRESETS["specialist"]) -> tuple[DataFrame, DataFrame]:
+    """Trees for the band, which take the first score ``p`` as a feature: the band with ``p2``, and one row on its validation part.
+
+    ``scored`` has label, validation, p and the features. The report gives the pairs, and AUC and accuracy of p and p2.
+    """
+    own = band(scored, low, high)
+    named = [*features, "p"]
+    made = predict(train(own, named, preset), own, named, "p2")
+    held = made.where("validation")
+    out = held.agg(F.count(F.lit(1)).alias("pairs"), *(F.round(F.avg(((F.col(s) >= 0.5) == (F.col("label") == 1)).cast("double")), 6).alias(f"accuracy_{s}") for s in ("p", "p2")))
+    for s in ("p", "p2"):
+        out = out.join(metrics.auc(held, s, "label").select(F.col("auc").alias(f"auc_{s}")), F.lit(True), "left")  # one row each
+    return made, out
+
+
 def band(scored: DataFrame, low: float, high: float) -> DataFrame:
     return scored.where((F.col("p") >= low) & (F.col("p") < high))
 

@@ -1,7 +1,8 @@
 """Entity-resolution inputs made from the star-schema tables, in Spark and, word for word, in SQL.
 
-``entities``: documents as business records (name: words 1-6, address: words 7-18, three sources, language as
-country). ``truth``: records of source 2 or 3 with the text of a source-1 entity, each owned by the least such
+``entities``: documents as business records (three sources, language as country). Of all distinct words of a
+whole text, in order of their MD5, the first six are the name and the next twelve the address: a bottom-k sketch,
+in which texts meet as far as they share words, wherever those stand. ``truth``: records of source 2 or 3 with the text of a source-1 entity, each owned by the least such
 entity. ``pairs``: candidates that share a rare token. ``scores``: a score for each candidate pair.
 """
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from kinspark.functions import tables, text
 from kinspark.functions.tokens import words
+from kinspark.functions.unicode import fold
 
-RARE = 6
+RARE = 40
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,15 +25,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``entity_id, source, country, business_name, business_address, text_md5``."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.filter(F.split(F.regexp_replace("text", r"[ \t\n\f\r]+", " "), " "), lambda t: t != "").alias("w"))
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", r"[ \t\n\f\r]+", " "), " "), lambda t: t != ""))
+    ordered = F.array_sort(F.transform(words, lambda t: F.concat(F.md5(t), t)))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.transform(F.slice(ordered, 1, 18), lambda t: F.substring(t, 33, 1 << 30)).alias("sketch"))
     source = F.concat(F.lit("S"), (1 + F.col("doc_id") % 3).cast("string"))
     country = F.when(F.col("lang") == "en", "US").when(F.col("lang") == "fr", "France").otherwise(F.col("lang"))
     return docs.select(
         F.concat_ws("-", source, "doc_id").alias("entity_id"),
         source.alias("source"),
         country.alias("country"),
-        F.array_join(F.slice("w", 1, 6), " ").alias("business_name"),
-        F.array_join(F.slice("w", 7, 12), " ").alias("business_address"),
+        F.array_join(F.slice("sketch", 1, 6), " ").alias("business_name"),
+        F.array_join(F.slice("sketch", 7, 12), " ").alias("business_address"),
         F.md5("text").alias("text_md5"),
     )
 
@@ -39,6 +43,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def release() -> None:
+    """Give back what :func:`kept` holds."""
+    for frame in _KEPT.values():
+        frame.unpersist()
+    _KEPT.clear()
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A frame that many queries start from, persisted once for each session and input (lineage rebuilds lost blocks)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -53,7 +64,7 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities(spark, sf_dir).select("entity_id", "source", "country", "text_md5", text.normalize("business_name", "country").alias("name_norm"), text.normalize("business_address", "country").alias("addr_norm"))
+    return entities(spark, sf_dir).select("entity_id", "source", "country", "text_md5", text.normalize("business_name", "country", fold=fold).alias("name_norm"), text.normalize("business_address", "country", fold=fold).alias("addr_norm"))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +113,7 @@ def collapse(x: str) -> str:
 
 
 ENT = r"""
-docs_w AS (SELECT doc_id, lang, text, list_filter(string_split_regex(text, '[ \t\n\f\r]+'), lambda t: t <> '') AS w FROM documents),
+docs_w AS (SELECT doc_id, lang, text, list_transform(list_sort(list_transform(list_distinct(list_filter(string_split_regex(text, '[ \t\n\f\r]+'), lambda t: t <> '')), lambda t: md5(t) || t))[1:18], lambda t: substr(t, 33)) AS w FROM documents),
 ent AS (SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, 'S' || (1 + doc_id % 3) AS source,
   CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' ELSE lang END AS country,
   array_to_string(w[1:6], ' ') AS business_name, array_to_string(w[7:18], ' ') AS business_address, md5(text) AS text_md5 FROM docs_w)"""
@@ -114,7 +125,7 @@ def _values(short: bool) -> str:
 
 def _norm_ctes() -> str:
     """CTEs that end in norm(entity_id, source, country, text_md5, name_norm, addr_norm)."""
-    low = "regexp_replace(lower(s), '[^a-z0-9 ]+', ' ', 'g')"
+    low = "regexp_replace(lower(strip_accents(replace(s, 'ß', 'ss'))), '[^a-z0-9 ]+', ' ', 'g')"  # the twin folds what Latin texts hold
     short = ", ".join(f"'{c}'" for c in tables.SHORT_COUNTRIES)
     null = ", ".join(f"'{x}'" for x in tables.NULLISH)
     unconfuse = f"CASE WHEN regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '^[0-9]+$') THEN translate(t, '{tables.CONFUSED}', '{tables.MEANT}') ELSE t END"

@@ -44,7 +44,7 @@ def er_block_exact_key(spark, d) -> DataFrame:
 
 
 def er_block_rare_token(spark, d) -> DataFrame:
-    return blocking.rare_token(b.normalised(spark, d), 6, 5)
+    return blocking.rare_token(b.normalised(spark, d))
 
 
 def _union(spark, d) -> DataFrame:
@@ -95,6 +95,21 @@ def er_block_shootout(spark, d) -> DataFrame:
     return blocking.evaluate(cand, b.truth(spark, d), _queries(spark, d), ("setup",))
 
 
+def er_block_floors(spark, d) -> DataFrame:
+    """Two passes with a floor of similarity each, then the best five of each group."""
+    return blocking.build_candidates({n: _word(spark, d, n) for n in ("combo", "addr")}, {"combo": 0.2, "addr": 0.3}, 5)
+
+
+def er_reduction_ratio(spark, d) -> DataFrame:
+    """The share of all comparisons that blocking saves."""
+    return blocking.reduction_ratio(_union(spark, d), b.entities(spark, d))
+
+
+def er_eval_by_country(spark, d) -> DataFrame:
+    """Recall and size of candidates in each country."""
+    return blocking.evaluate_by_country(_union(spark, d), b.truth(spark, d), b.entities(spark, d))
+
+
 def er_seed_stability(spark, d) -> DataFrame:
     return blocking.seed_stability(_union(spark, d), b.truth(spark, d), spark.createDataFrame([(i,) for i in range(1, 6)], "seed int"))
 
@@ -179,7 +194,7 @@ def er_submission(spark, d) -> DataFrame:
 def er_splice(spark, d) -> DataFrame:
     everyone = _queries(spark, d)
     old = decide.submission(everyone, decide.flat(_scores(spark, d), 0.2)).select(F.col("source1_entity_id").alias("q"), F.col("matched_entity_ids").alias("ids"))
-    new = decide.submission(everyone, decide.flat(_scores(spark, d), 0.4)).select(F.col("source1_entity_id").alias("q"), F.col("matched_entity_ids").alias("ids")).where("pmod(crc32(q), 2) = 0")
+    new = decide.submission(everyone, decide.flat(_scores(spark, d), 0.4)).select(F.col("source1_entity_id").alias("q"), F.col("matched_entity_ids").alias("ids")).where("left(md5(q), 1) < '8'")
     return decide.splice(everyone, new, old)
 
 
@@ -194,7 +209,7 @@ def er_prune(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        er_block_topk_word, er_block_topk_char3, er_block_word_count, er_block_exact_key, er_block_rare_token, er_block_union, er_block_eval, er_block_sweep, er_signal_union, er_block_ablation, er_block_shootout, er_seed_stability, er_reachability,
+        er_block_topk_word, er_block_topk_char3, er_block_word_count, er_block_exact_key, er_block_rare_token, er_block_union, er_block_eval, er_block_sweep, er_signal_union, er_block_ablation, er_block_shootout, er_block_floors, er_reduction_ratio, er_eval_by_country, er_seed_stability, er_reachability,
         er_rel_windows, er_rel_cross, er_rel_mirror, er_rel_stacked, er_rule_flat, er_rule_rescue, er_rule_rank_aware, er_rule_exclusive, er_contested, er_conflict_resolve, er_cascade_blend, er_submission, er_splice, er_submission_faults, er_prune,
     )
 }
@@ -286,9 +301,9 @@ ORACLE = {
     "er_block_word_count": b.with_(b.NORM, topk_ctes("wk", K, binary=True)) + "SELECT q, c, source, sim FROM wk",
     "er_block_exact_key": b.with_(b.NORM, EXACT) + "SELECT q, c, source FROM exact_k",
     "er_block_rare_token": b.with_(b.NORM)
-    + """, t AS (SELECT DISTINCT country, entity_id, source, unnest(list_filter(string_split(trim(name_norm || ' ' || addr_norm), ' '), lambda t: length(t) >= 3)) AS term FROM norm), s AS (SELECT country, term FROM t GROUP BY ALL HAVING count(*) BETWEEN 2 AND 6),
+    + """, t AS (SELECT DISTINCT country, entity_id, source, unnest(list_filter(string_split(trim(name_norm || ' ' || addr_norm), ' '), lambda t: length(t) >= 3)) AS term FROM norm), s AS (SELECT country, term FROM t GROUP BY ALL HAVING count(*) BETWEEN 2 AND 40),
 m AS (SELECT DISTINCT x.entity_id AS q, y.entity_id AS c, y.source FROM t x JOIN s USING (country, term) JOIN t y USING (country, term) WHERE x.source = 'S1' AND y.source <> 'S1')
-SELECT q, c, source FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c) AS rn FROM m) WHERE rn <= 5""",
+SELECT q, c, source FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c) AS rn FROM m) WHERE rn <= 60""",
     "er_block_union": b.with_(*BASE) + UNION + "SELECT q, c, source FROM cand",
     "er_block_eval": b.with_(*BASE) + UNION + _eval("SELECT q, c FROM cand"),
     "er_block_sweep": b.with_(b.NORM, b.TRUTH, topk_ctes("wc", 50)) + _eval("SELECT k, q, c FROM wc, (SELECT unnest([1, 5, 10, 25, 50])::INT AS k) ks WHERE rn <= k", "k"),
@@ -315,6 +330,15 @@ SELECT count(*) AS pairs, round(avg((n >= 0.5)::INT), 6) AS by_name, round(avg((
     "er_conflict_resolve": S + "SELECT q, c, score, containment FROM (SELECT q, c, CASE WHEN p < 0.5 THEN p END AS score, p AS containment FROM scores) QUALIFY row_number() OVER (PARTITION BY c ORDER BY (score IS NULL) DESC, coalesce(score, containment) DESC, q DESC) = 1",
     "er_cascade_blend": S + "SELECT q, c, round(CASE WHEN p >= 0.05 AND p < 0.95 THEN 0.6 * (1 - p) + 0.4 * p ELSE p END, 6) AS p FROM scores",
     "er_submission": S + "SELECT q AS source1_entity_id, ids AS matched_entity_ids FROM (" + LISTS.format(t=0.4) + ")",
+    "er_splice": S
+    + "SELECT o.q, CASE WHEN left(md5(o.q), 1) < '8' THEN n.ids ELSE o.ids END AS ids FROM (" + LISTS.format(t=0.2) + ") o JOIN (" + LISTS.format(t=0.4) + ") n ON n.q = o.q",
+    "er_block_floors": b.with_(*BASE) + "SELECT q, c, source FROM wc WHERE sim >= 0.2 AND rn <= 5 UNION SELECT q, c, source FROM wa WHERE sim >= 0.3 AND rn <= 5",
+    "er_reduction_ratio": b.with_(*BASE)
+    + UNION
+    + "SELECT candidates, comparisons, round(1.0 - candidates / comparisons::DOUBLE, 6) AS reduction_ratio FROM (SELECT count(*) AS candidates FROM cand), (SELECT sum(a * o)::BIGINT AS comparisons FROM (SELECT country, count(*) FILTER (source = 'S1') AS a, count(*) FILTER (source <> 'S1') AS o FROM ent GROUP BY country))",
+    "er_eval_by_country": b.with_(*BASE)
+    + UNION
+    + f", w AS (SELECT country, c.q, c.c FROM cand c JOIN ent ON entity_id = c.q), t AS (SELECT country, count(*) AS n_true, count(w.c) AS tp FROM (SELECT truth.*, country FROM truth JOIN ent ON entity_id = truth.q) x LEFT JOIN w USING (country, q, c) GROUP BY country) SELECT e.country, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp, round(tp / n_true::DOUBLE, 6) AS recall, coalesce(k.n, 0) AS candidates, e.n AS entities FROM (SELECT country, count(*) AS n FROM ent WHERE source = 'S1' GROUP BY country) e LEFT JOIN t USING (country) LEFT JOIN (SELECT country, count(*) AS n FROM w GROUP BY country) k USING (country)",
     "er_submission_faults": "SELECT unnest(['missing entity', 'repeated entity', 'wrong source', 'unknown id', 'repeated id']) AS fault, 0::BIGINT AS n",
     "er_prune": S + "SELECT q, c, p FROM scores QUALIFY row_number() OVER (PARTITION BY q ORDER BY p DESC, c) <= 3",
 }

@@ -139,6 +139,31 @@ def dq_script_hist(spark, d) -> DataFrame:
     return profile.script_histogram(b.entities(spark, d))
 
 
+def dq_script_mix(spark, d) -> DataFrame:
+    return profile.script_mix(b.entities(spark, d))
+
+
+def dq_truth_sizes(spark, d) -> DataFrame:
+    return profile.truth_sizes(b.truth(spark, d), _queries(spark, d))
+
+
+def dq_pair_quantiles(spark, d) -> DataFrame:
+    return profile.pair_quantiles(b.truth(spark, d), b.normalised(spark, d))
+
+
+def dq_unlike_pairs(spark, d) -> DataFrame:
+    return profile.unlike_pairs(b.truth(spark, d), b.normalised(spark, d))
+
+
+def dq_script_agreement(spark, d) -> DataFrame:
+    return profile.script_agreement(b.truth(spark, d), b.entities(spark, d))
+
+
+def er_reachability_levels(spark, d) -> DataFrame:
+    """Shares of true pairs within reach of three similarities of folded forms."""
+    return profile.reachability(b.truth(spark, d), b.normalised(spark, d))
+
+
 def dq_feature_auc(spark, d) -> DataFrame:
     """AUC and class means of each feature."""
     from kinspark.plans.q_features import feature_frame
@@ -154,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         er_pipeline_macro_f05, er_macro_f05, er_ceiling, er_eval_report, er_threshold_sweep, er_best_threshold, er_break_even, er_labelled_pairs, er_auc, er_average_precision, er_loss_decomposition, er_calibration,
-        metric_regression, metric_classification, metric_logloss, metric_extraction_f1, metric_mapk, dq_profile, dq_country_mix, dq_truth_structure, dq_pair_similarity, dq_integrity, dq_script_hist, dq_feature_auc,
+        metric_regression, metric_classification, metric_logloss, metric_extraction_f1, metric_mapk, dq_profile, dq_country_mix, dq_truth_structure, dq_pair_similarity, dq_integrity, dq_script_hist, dq_script_mix, dq_truth_sizes, dq_pair_quantiles, dq_unlike_pairs, dq_script_agreement, er_reachability_levels, dq_feature_auc,
     )
 }
 
@@ -194,6 +219,11 @@ def _feature_auc() -> str:
 
 
 ENTS = b.with_(b.ENT, b.TRUTH)
+SIMILAR = (
+    b.with_(b.NORM, b.TRUTH)
+    + f""", m AS (SELECT truth.q, truth.c, {GRAMS.format(x='x.name_norm')} AS gn1, {GRAMS.format(x='y.name_norm')} AS gn2, {GRAMS.format(x='x.addr_norm')} AS ga1, {GRAMS.format(x='y.addr_norm')} AS ga2 FROM truth JOIN norm x ON x.entity_id = q JOIN norm y ON y.entity_id = c),
+j AS (SELECT q, c, {b.sql_jaccard('gn1', 'gn2')} AS n, {b.sql_jaccard('ga1', 'ga2')} AS a FROM m) """
+)
 ORACLE = {
     "er_pipeline_macro_f05": T + "," + per_entity("SELECT q, c FROM (SELECT * FROM scores WHERE p >= 0.4) QUALIFY row_number() OVER (PARTITION BY c ORDER BY p DESC, q) = 1", "pe") + f" SELECT round(avg({f05()}), 6) AS macro_f05 FROM pe",
     "er_macro_f05": T + "," + per_entity(FLAT, "pe") + f" SELECT round(avg({f05()}), 6) AS macro_f05 FROM pe",
@@ -222,9 +252,9 @@ s AS (SELECT count(*) FILTER (p <> '' AND p = y) AS tp, count(*) FILTER (p <> ''
     "metric_mapk": """WITH r AS (SELECT o_custkey AS q, o_orderkey AS item, o_orderstatus AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
 h AS (SELECT q, sum(n / rank::DOUBLE) AS s FROM (SELECT q, rank, row_number() OVER (PARTITION BY q ORDER BY rank) AS n FROM r WHERE rank <= 10 AND st = 'F') GROUP BY q), a AS (SELECT q, count(*) AS n FROM r WHERE st = 'F' GROUP BY q)
 SELECT round(avg(coalesce(s, 0) / least(n, 10)), 6) AS map_at_k FROM a LEFT JOIN h USING (q)""",
-    "dq_profile": ENTS + "SELECT source, count(*) AS n_rows, count(DISTINCT country) AS n_countries, sum((business_name = '')::INT)::BIGINT AS empty_names, sum((business_address = '')::INT)::BIGINT AS empty_addresses, round(avg(length(business_name)), 6) AS name_mean, round(quantile_cont(length(business_name), 0.5), 6) AS name_median, max(length(business_name))::INT AS name_max, (count(*) - count(DISTINCT entity_id))::BIGINT AS repeated_ids FROM ent GROUP BY source",
+    "dq_profile": ENTS + "SELECT source, count(*) AS n_rows, count(DISTINCT country) AS n_countries, sum((business_name = '')::INT)::BIGINT AS empty_names, sum((business_address = '')::INT)::BIGINT AS empty_addresses, round(avg(length(business_name)), 6) AS name_mean, round(quantile_cont(length(business_name), 0.5), 6) AS name_median, max(length(business_name))::INT AS name_max, round(avg(length(business_address)), 6) AS addr_mean, round(quantile_cont(length(business_address), 0.5), 6) AS addr_median, max(length(business_address))::INT AS addr_max, (count(*) - count(DISTINCT entity_id))::BIGINT AS repeated_ids FROM ent GROUP BY source",
     "dq_country_mix": ENTS + "SELECT coalesce(source, 'all') AS source, coalesce(country, 'all') AS country, count(*) AS n_rows FROM ent GROUP BY ROLLUP (source, country)",
-    "dq_truth_structure": ENTS + f"""SELECT k, entities, in_both, round(entities / sum(entities) OVER ()::DOUBLE, 6) AS share, round(sum(entities) OVER (ORDER BY k) / sum(entities) OVER ()::DOUBLE, 6) AS share_up_to FROM (SELECT k, count(*) AS entities, sum(s2 * s3)::BIGINT AS in_both FROM
+    "dq_truth_structure": ENTS + f"""SELECT k, entities, in_both, s2_only, s3_only, round(entities / sum(entities) OVER ()::DOUBLE, 6) AS share, round(sum(entities) OVER (ORDER BY k) / sum(entities) OVER ()::DOUBLE, 6) AS share_up_to FROM (SELECT k, count(*) AS entities, sum(s2 * s3)::BIGINT AS in_both, sum(s2 * (1 - s3))::BIGINT AS s2_only, sum(s3 * (1 - s2))::BIGINT AS s3_only FROM
   (SELECT e.q, count(truth.c) AS k, coalesce(max((truth.c LIKE 'S2%')::INT), 0) AS s2, coalesce(max((truth.c LIKE 'S3%')::INT), 0) AS s3 FROM {EVERY} e LEFT JOIN truth ON truth.q = e.q GROUP BY e.q) GROUP BY k)""",
     "dq_pair_similarity": b.with_(b.NORM, b.TRUTH)
     + f""", m AS (SELECT (x.country = y.country)::INT AS same, {GRAMS.format(x='x.name_norm')} AS gn1, {GRAMS.format(x='y.name_norm')} AS gn2, {GRAMS.format(x='x.addr_norm')} AS ga1, {GRAMS.format(x='y.addr_norm')} AS ga2 FROM truth JOIN norm x ON x.entity_id = q JOIN norm y ON y.entity_id = c),
@@ -233,5 +263,13 @@ j AS (SELECT same, {b.sql_jaccard('gn1', 'gn2')} AS n, {b.sql_jaccard('ga1', 'ga
     + """SELECT check_name, n AS faults, n = 0 AS passed FROM (SELECT 'repeated pair' AS check_name, (SELECT count(*) FROM (SELECT q, c FROM truth GROUP BY ALL HAVING count(*) > 1)) AS n UNION ALL SELECT 'wrong prefix', (SELECT count(*) FROM truth WHERE NOT regexp_matches(c, '^S[23]-')) UNION ALL SELECT 'several owners', (SELECT count(*) FROM (SELECT c FROM truth GROUP BY c HAVING count(DISTINCT q) > 1))
 UNION ALL SELECT 'dangling match', (SELECT count(*) FROM truth WHERE c NOT IN (SELECT entity_id FROM ent)) UNION ALL SELECT 'dangling entity', (SELECT count(*) FROM truth WHERE q NOT IN (SELECT entity_id FROM ent)) UNION ALL SELECT 'country differs', (SELECT count(*) FROM truth JOIN ent x ON x.entity_id = q JOIN ent y ON y.entity_id = c WHERE x.country <> y.country) UNION ALL SELECT 'repeated id', (SELECT count(*) FROM (SELECT entity_id FROM ent GROUP BY 1 HAVING count(*) > 1)))""",
     "dq_feature_auc": _feature_auc(),
+    "dq_script_mix": ENTS + "SELECT source, script, count(*) AS n FROM (SELECT source, " + _script("business_name") + " AS script FROM ent) GROUP BY ALL",
+    "dq_truth_sizes": ENTS
+    + f"""SELECT count(*) AS entities, round(avg(k), 6) AS mean, {', '.join(f"list_sort(list(k))[least(floor(count(*) * {s})::BIGINT, count(*) - 1) + 1] AS p{round(s * 100)}" for s in (0.5, 0.9, 0.99))}, max(k) AS most FROM (SELECT e.q, count(truth.c) AS k FROM {EVERY} e LEFT JOIN truth ON truth.q = e.q GROUP BY e.q)""",
+    "dq_pair_quantiles": SIMILAR + "SELECT share, round(name, 6) AS name, round(addr, 6) AS addr FROM (" + " UNION ALL ".join(f"SELECT {s}::DOUBLE AS share, quantile_cont(n, {s}) AS name, quantile_cont(a, {s}) AS addr FROM j" for s in (0.01, 0.05, 0.25, 0.5, 0.75)) + ")",
+    "dq_unlike_pairs": SIMILAR + "SELECT q, c, round(n, 6) AS n, round(a, 6) AS a FROM j ORDER BY greatest(round(n, 6), round(a, 6)), q, c LIMIT 10",
+    "er_reachability_levels": SIMILAR
+    + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS level, round(avg((n >= {t})::INT), 6) AS by_name, round(avg((a >= {t})::INT), 6) AS by_addr, round(avg((n >= {t} OR a >= {t})::INT), 6) AS by_either, round(avg((n < {t} AND a < {t})::INT), 6) AS unreachable, sum((a >= {t} AND n < {t})::INT)::BIGINT AS rescued FROM j" for t in (0.3, 0.5, 0.7)),
+    "dq_script_agreement": ENTS + f"SELECT x.s AS script1, y.s AS script2, count(*) AS pairs FROM truth JOIN (SELECT entity_id, {_script('business_name')} AS s FROM ent) x ON x.entity_id = q JOIN (SELECT entity_id, {_script('business_name')} AS s FROM ent) y ON y.entity_id = c GROUP BY ALL",
     "dq_script_hist": ENTS + "SELECT script, count(*) AS n FROM (SELECT " + _script("business_name") + " AS script FROM ent) GROUP BY script",
 }

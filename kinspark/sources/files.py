@@ -129,8 +129,34 @@ def cache_frame(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+def save_pass(pairs: DataFrame, path: str) -> None:
+    """One pass of candidates: ``q, c, source, sim, has_sims``; sim is null in a pass that has none."""
+    sims = "sim" in pairs.columns
+    pairs.select("q", "c", "source", (F.col("sim") if sims else F.lit(None)).cast("double").alias("sim"), F.lit(sims).alias("has_sims")).write.mode("overwrite").parquet(path)
+
+
+def load_pass(spark: SparkSession, path: str) -> DataFrame:
+    """A saved pass; without sim where it had none."""
+    own = spark.read.parquet(path)
+    first = own.select("has_sims").first()
+    return own.drop("has_sims") if first and first[0] else own.drop("has_sims", "sim")
+
+
+def resumed(spark: SparkSession, path: str, parts: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """All parts, each written under its name below ``path`` once; a run that was stopped goes on at the first part that isn't whole."""
+    out = None
+    for name, build in parts.items():
+        own = cache_frame(spark, f"{path}/part={name}", build)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """``n_rows, fingerprint`` (12 hex digits) that doesn't depend on row order."""
+    """``n_rows, fingerprint`` (12 hex digits) that doesn't depend on row order.
+
+    Digests of rows are summed, so that rows that come twice don't cancel out. Values count by their text.
+    """
     names = ",".join(df.columns)
-    h = F.bit_xor(F.xxhash64(*(F.col(c) for c in df.columns)))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.substring(F.md5(F.concat_ws("|", F.lit(names), F.count(F.lit(1)), F.coalesce(h, F.lit(0)))), 1, 12).alias("fingerprint"))
+    row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in df.columns)))
+    total = F.coalesce(F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.substring(F.md5(F.concat_ws("|", F.lit(names), F.count(F.lit(1)).cast("string"), total)), 1, 12).alias("fingerprint"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinspark.operators import blocking, decide, metrics, model, relative
+from kinspark.operators import blocking, decide, metrics, model, profile, relative
 from kinspark.sources import files
 from kinspark.streaming import ingest
 
@@ -100,6 +100,70 @@ def test_model_and_cascade(spark):
     assert {round(r["p"], 6) for r in blended.collect()} == {0.8}
 
 
+def test_specialist_on_the_band(spark):
+    rows = spark.createDataFrame([(f"q{i % 40}", f"c{i}", 0.3 + 0.01 * (i % 40), i % 2 + 0.01 * (i % 7), i % 2) for i in range(400)], "q string, c string, p double, f double, label int")
+    made, report = model.specialist(model.split(rows), ["f"], 0.35, 0.65, model.TreePreset(rounds=3, depth=2, least=1))
+    own = report.first()
+    assert made.count() == rows.where("p >= 0.35 and p < 0.65").count()
+    assert own["pairs"] == made.where("validation").count() and own["auc_p2"] == 1.0 > own["auc_p"] and own["accuracy_p2"] == 1.0
+
+
+def test_passes_and_resume(spark, tmp_path):
+    scored = spark.createDataFrame([("S1-1", "S2-1", "S2", 0.9), ("S1-1", "S2-2", "S2", 0.1), ("S1-1", "S2-3", "S2", 0.5)], "q string, c string, source string, sim double")
+    files.save_pass(scored, f"{tmp_path}/a")
+    files.save_pass(scored.drop("sim"), f"{tmp_path}/b")
+    assert files.load_pass(spark, f"{tmp_path}/a").columns == scored.columns and files.load_pass(spark, f"{tmp_path}/b").columns == ["q", "c", "source"]
+    assert sorted(r["c"] for r in blocking.build_candidates({"x": scored}, {"x": 0.2}, 1).collect()) == ["S2-1"]
+    built = []
+
+    def part(name, fails=False):
+        def build():
+            built.append(name)
+            if fails:
+                raise RuntimeError("stopped")
+            return scored
+
+        return build
+
+    with pytest.raises(RuntimeError):
+        files.resumed(spark, f"{tmp_path}/r", {"one": part("one"), "two": part("two", True)})
+    assert files.resumed(spark, f"{tmp_path}/r", {"one": part("one"), "two": part("two")}).count() == 6
+    assert built == ["one", "two", "two"]
+
+
+def test_fingerprints_count_repeats(spark):
+    once = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    twice = once.union(once.where("a = 1")).union(once.where("a = 1"))
+    other = once.union(once.where("a = 2")).union(once.where("a = 2"))
+    assert len({files.fingerprint(x).first()["fingerprint"] for x in (once, twice, other)}) == 3
+
+
+def test_shards_by_crc(spark):
+    import zlib
+
+    rows = spark.createDataFrame([(f"S1-{i}", "US") for i in range(50)], "q string, country string")
+    assert all(r["shard"] == zlib.crc32(r["q"].encode()) % 16 for r in files.shard(rows).collect())
+
+
+def test_unnamed_scripts_go_by_block(spark):
+    rows = spark.createDataFrame([("ᚠᚢᚦ",), ("ᚠ a",), ("abc",), ("12",)], "business_name string")
+    assert {r["script"]: r["n"] for r in profile.script_histogram(rows).collect()}["U+16xx"] >= 1
+
+
+def test_evaluation_by_configuration(spark):
+    """Totals in place of a row for each configuration and entity give what those rows would."""
+    truth = spark.createDataFrame([("q1", "a"), ("q1", "b"), ("q2", "c")], "q string, c string")
+    queries = spark.createDataFrame([(f"q{i}",) for i in range(1, 6)], "q string")
+    cand = spark.createDataFrame([(1, "q1", "a"), (1, "q4", "z"), (2, "q1", "a"), (2, "q1", "b"), (2, "q2", "x")], "k int, q string, c string")
+    got = {r["k"]: r for r in blocking.evaluate(cand, truth, queries, ("k",)).collect()}
+    for k in (1, 2):
+        alone = blocking.evaluate(cand.where(f"k = {k}").drop("k"), truth, queries).first().asDict()
+        assert {n: v for n, v in got[k].asDict().items() if n != "k"} == alone
+    assert (got[1]["tp"], got[1]["fn"], got[1]["candidates"], got[1]["complete_share"]) == (1, 2, 2, 0.6)
+    assert got[2]["max_macro_f05"] == pytest.approx((1 + 0 + 3) / 5)
+    assert blocking.evaluate(cand.limit(0).drop("k"), truth, queries).first()["complete_share"] == 0.6
+
+
 def test_files(spark, tmp_path):
     lines = spark.createDataFrame([("entity_id\tbusiness_name\tbusiness_address\tcountry",), ("S1-1\ta\tb\tUS",), ("S1-2\ta\tb",), ('S2-3\t"q\t\tUS\textra',)], "value string")
     got = {r["entity_id"]: r["business_name"] for r in files.split_lines(lines).collect()}

@@ -70,6 +70,44 @@ def test_transliteration():
     assert to_latin("abc") == "abc"
 
 
+def test_transliteration_of_nine_scripts():
+    words = {"दिल्ली": "dil", "ঢাকা": "ddh", "ਪੰਜਾਬ": "panj", "ગુજરાત": "guj", "ଓଡ଼ିଶା": "o", "தமிழ்": "tam", "తెలుగు": "telu", "ಕನ್ನಡ": "kann", "മലയാളം": "mala"}
+    for word, start in words.items():
+        made = to_latin(word)
+        assert made.isascii() and made.replace(" ", "").startswith(start), (word, made)
+
+
+def test_regions_go_by_code_name_then_first_word():
+    found = tables.regions()
+    assert found["oh"] == found["ohio"] == "oh" and found["new york"] == "ny"
+    first = {}
+    for line in tables.REGIONS.strip().splitlines():
+        code, _, names = line.partition(": ")
+        for name in names.split(", "):
+            for word in name.split():
+                first.setdefault(word, code)
+    whole = {x for line in tables.REGIONS.strip().splitlines() for x in (line.partition(": ")[0], *line.partition(": ")[2].split(", "))}
+    assert all(found[w] == c for w, c in first.items() if w not in whole)
+    for token in ("masachusets", "mharastr", "xqzzy", "o", "ohi", "californa"):
+        near = [(kernels.indel_ratio(token, x), x) for x in found if len(token) >= 4 <= len(x) and abs(len(x) - len(token)) <= 3 and x[0] == token[0]]
+        best = max((r for r, _ in near), default=0)
+        want = found.get(token, found[min(x for r, x in near if r == best)] if best >= 0.82 else "") if len(token) > 1 else ""
+        assert kernels.region_of(token) == want, token
+
+
+def test_older_normalisers(spark):
+    rows = spark.createDataFrame([("The Smith & Sons LLC सिल्वर",)], "s string")
+    got = rows.select(*(text.normalize("s", **options).alias(name) for name, options in text.NORMALISERS.items())).first()
+    assert got["plain"] == "the smith sons lc" and got["profile"] == "the smith sons llc सिल्वर"
+    assert set(got["vowels"]) <= set("abcdfghjklmnpqrstvwxyz ") and got["kernel"] != got["plain"]
+
+
+def test_most_frequent_features(spark):
+    docs = spark.createDataFrame([("d1", "a", ["x", "x", "x", "y"]), ("d2", "a", ["y", "z"]), ("d3", "a", ["z", "z"])], "id string, g string, t array<string>")
+    got = tokens.tfidf(docs, "t", "id", ("g",), max_features=2).select("term").distinct().collect()
+    assert {r["term"] for r in got} == {"x", "z"}  # three times each in all, although y is in as many rows
+
+
 def test_terms(spark):
     rows = spark.createDataFrame([("a bcd",), ("",)], "s string")
     got = rows.select(tokens.char_ngrams("s").alias("n"), tokens.padded_trigrams("s").alias("p"), tokens.words("s").alias("w")).collect()
