@@ -93,12 +93,16 @@ def _vector(spark, d) -> tuple[DataFrame, list[str]]:
 
 
 def _held_out(spark, d) -> DataFrame:
-    """Pairs of held-out entities with the score ``p`` of trees that stopped early on them, and their columns."""
+    """Pairs of held-out entities with their label and the score ``p`` of trees that stopped early on them."""
+    return b.kept(spark, d, "held-out", _fitted)
+
+
+def _fitted(spark, d) -> DataFrame:
     rows = b.kept(spark, d, "vector", lambda s, x: _vector(s, x)[0])
     names = [c for c in rows.columns if c not in ("q", "c", "source", "label", features.DEAD)]
     own = model.split(rows)
     fitted = model.train(own, names, model.PRESETS["v2"])
-    return model.predict(fitted, own.where("validation"), names)
+    return model.predict(fitted, own.where("validation"), names).select("q", "c", "label", "p")
 
 
 def er_gbt_scores(spark, d) -> DataFrame:
