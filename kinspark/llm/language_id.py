@@ -35,7 +35,7 @@ from kinspark.llm.bpe import in_groups
 SAMPLE_DOCS = 400
 SAMPLE_RUNS = 16
 SAMPLE_WORDS = 120_000
-SALTS = 64
+STEPS = 1 << 30
 BUCKETS = 1 << 16
 WORD_LETTERS = 30
 SEGMENT = 64
@@ -340,14 +340,15 @@ def sampled_words(text: str) -> str:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Fit on runs of at most ``sample_docs`` labelled documents of each language, those with the least hashes, that are not held out.
 
-    The least hashes of all languages are found in one pass over ids: in each task, then within SALTS parts
-    of a language, then within the language. What comes to the driver is bounded by the sample's parameters.
+    Ids are counted by language; hashes that can't be among the least go before the shuffle (four times as many as
+    wanted are let through, of which fewer than wanted are not to be met with). What comes to the driver is bounded
+    by the sample's parameters.
     """
     own = docs.where("lang is not null and doc_id is not null").where(~held_out("doc_id")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    own = own.withColumn("part", F.pmod("h", F.lit(SALTS)))
-    for keys in (("lang", "part"), ("lang",)):
-        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
-        own = own.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).drop("at")
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    least = own.join(counts, "lang").withColumn("step", F.pmod("h", F.lit(STEPS))).where(F.col("step") <= F.lit(4.0 * sample_docs * STEPS) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("step", "h", "doc_id")
+    own = least.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs)
     picked = materialize(own.select("doc_id", "lang").distinct(), "sample")
     bound = docs.select("doc_id", "lang", text_or_empty("text").alias("text")).join(picked, ["doc_id", "lang"])  # a written table, so that its size decides whether it is broadcast
 
