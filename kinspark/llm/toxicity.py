@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,46 +77,55 @@ def _tail(k: int, n: int, p: float) -> float:
     return min(0.0, first - math.log(max(1e-12, 1 - ratio)))
 
 
-def count_units(sets: list[set[str]], least: int) -> dict[str, int]:
-    """Rows of each unit with at least ``least`` rows. A longer beginning is only counted where the shorter one has enough, which bounds memory."""
-    found: dict[str, int] = {}
-    for n in PREFIXES:
-        counts = Counter()
-        for words in sets:
-            counts.update({f"^{w[:n]}" for w in words if len(w) >= n and (n == PREFIXES[0] or f"^{w[: n - 1]}" in found)})
-        found |= {u: k for u, k in counts.items() if k >= least}
-    counts = Counter()
-    for words in sets:
-        counts.update({f"={w}" for w in words if len(w) < PREFIXES[0] or f"^{w[: PREFIXES[0]]}" in found})
-    return found | {u: k for u, k in counts.items() if k >= least}
-
-
-def choose_units(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Units whose share of toxic rows no chance explains, allowing for how many units were looked at; those in most rows first."""
-    n_toxic = int(toxic.sum())
-    if not 0 < n_toxic < len(sets):
-        return []
-    in_toxic = count_units([s for s, label in zip(sets, toxic, strict=True) if label], LEAST_ROWS)
-    in_other: Counter = Counter()
-    for words, label in zip(sets, toxic, strict=True):
-        if not label:
-            in_other.update({u for w in words for u in units_of(w) if u in in_toxic})
-    prior = n_toxic / len(sets)
-    chances = sorted((_tail(k, k + in_other[u], prior), u) for u, k in in_toxic.items() if k >= 9 * in_other[u])
+def unit_rows(row_of: np.ndarray, word_of: np.ndarray, vocabulary: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """For whole words and each length of beginnings: the units' names, and distinct pairs (row, unit).
+
+    ``row_of``, ``word_of``: which row has which word of the vocabulary. Words are numbers, so that memory grows by
+    eight bytes for each word of a row, once a length.
+    """
+    for n in (0, *PREFIXES):
+        place: dict[str, int] = {}
+        code = np.array([place.setdefault(w[:n] if n else w, len(place)) if len(w) >= n else -1 for w in vocabulary], np.int64)
+        if not place:
+            continue
+        own = code[word_of]
+        there = own >= 0
+        pairs = np.unique(row_of[there] * len(place) + own[there])
+        yield [f"^{x}" if n else f"={x}" for x in place], pairs // len(place), pairs % len(place)
+
+
+def choose_units(row_of: np.ndarray, word_of: np.ndarray, vocabulary: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Units whose share of toxic rows no chance explains, allowing for how many units were looked at; those in most rows first.
+
+    With them, pairs (row, place among them): the rows in which each speaks.
+    """
+    n_toxic, none = int(toxic.sum()), np.zeros(0, np.int64)
+    if not 0 < n_toxic < len(toxic) or not vocabulary:
+        return [], none, none
+    prior, looked_at = n_toxic / len(toxic), 0
+    found: list[tuple[float, str, int, np.ndarray]] = []
+    for names, rows, units in unit_rows(row_of, word_of, vocabulary):
+        all_rows, in_toxic = np.bincount(units, minlength=len(names)), np.bincount(units[toxic[rows] == 1], minlength=len(names))
+        looked_at += int((in_toxic >= LEAST_ROWS).sum())
+        pure = (in_toxic >= LEAST_ROWS) & (in_toxic >= 9 * (all_rows - in_toxic))
+        kept = pure[units]
+        rows, units = rows[kept], units[kept]
+        order = np.argsort(units, kind="stable")
+        cuts = np.flatnonzero(np.diff(units[order])) + 1
+        for own in np.split(order, cuts) if len(order) else ():
+            u = int(units[own[0]])
+            found.append((_tail(int(in_toxic[u]), int(all_rows[u]), prior), names[u], int(in_toxic[u]), rows[own]))
+    found.sort(key=lambda x: x[:2])
     limit = -math.inf  # as many pass as keeps the expected share of chance units (Benjamini and Hochberg)
-    for rank, (chance, _) in enumerate(chances, 1):
-        if chance <= math.log(FALSE_SHARE * rank / len(in_toxic)):
+    for rank, (chance, *_) in enumerate(found, 1):
+        if chance <= math.log(FALSE_SHARE * rank / looked_at):
             limit = chance
-    passed = {u: in_toxic[u] for chance, u in chances if chance <= limit}
-    rows: dict[str, list[int]] = {u: [] for u in passed}
-    for at, (words, label) in enumerate(zip(sets, toxic, strict=True)):
-        if label:
-            for u in {u for w in words for u in units_of(w)} & passed.keys():
-                rows[u].append(at)
-    alike: dict[tuple[int, ...], str] = {}
-    for u in sorted(passed, key=lambda u: (-passed[u], -len(u), u)):
-        alike.setdefault(tuple(rows[u]), u)
-    return list(alike.values())  # of units in the same rows, the longest
+    alike: dict[bytes, tuple[str, np.ndarray]] = {}
+    for _, u, _, rows in sorted((x for x in found if x[0] <= limit), key=lambda x: (-x[2], -len(x[1]), x[1])):
+        alike.setdefault(rows[toxic[rows] == 1].tobytes(), (u, rows))  # of units in the same toxic rows, the longest
+    chosen = list(alike.values())
+    at = [np.full(len(rows), i, np.int64) for i, (_, rows) in enumerate(chosen)]
+    return [u for u, _ in chosen], np.concatenate([rows for _, rows in chosen]) if chosen else none, np.concatenate(at) if at else none
 
 
 @dataclass
@@ -257,30 +266,32 @@ def logistic(x: np.ndarray, q: np.ndarray, centre: np.ndarray | None = None, l2:
 
 def fit(texts: list[str], toxic: list[int], prior: float | None = None) -> Model:
     """``prior``: the share of toxic rows among all labelled ones, where the sample's differs."""
-    return fit_words([words_of(t) for t in texts], [pattern_votes(t, t.lower()) for t in texts], toxic, prior)
+    words = pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))
+    return fit_words(words, [pattern_votes(t, t.lower()) for t in texts], toxic, prior)
 
 
-def fit_words(sets: list[set[str]], patterns: list[list[bool]], toxic: list[int], prior: float | None = None) -> Model:
-    """As :func:`fit`, from the distinct words and pattern votes of each text."""
+def fit_words(words: pa.Array, patterns: list[list[bool]], toxic: list[int], prior: float | None = None) -> Model:
+    """As :func:`fit`, from the distinct words (lists of strings) and pattern votes of each text."""
     gold = np.array(toxic, np.int64)
     if not 0 < gold.sum() < len(gold):
         weights = np.zeros(len(PATTERNS))
         weights[0] = 6.0
         return Model({}, weights, -4.0)
-    units = choose_units(sets, gold)
-    index = {u: i for i, u in enumerate(units)}
-    votes = np.zeros((len(sets), len(units) + len(PATTERNS)), np.float32)
-    for row, (words, own) in enumerate(zip(sets, patterns, strict=True)):
-        votes[row, [index[u] for w in words for u in units_of(w) if u in index]] = 1
-        votes[row, len(units) :] = own
+    coded = pc.list_flatten(words).dictionary_encode()
+    row_of = np.asarray(pc.list_parent_indices(words), np.int64)
+    units, rows, at = choose_units(row_of, np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist(), gold)
+    del coded, row_of
+    votes = np.zeros((len(gold), len(units) + len(PATTERNS)), np.float32)
+    votes[rows, at] = 1
+    votes[:, len(units) :] = patterns
     share = gold.mean()
     q, rates, discounts, _, _ = label_model(votes, gold, share)
-    w = logistic(votes.astype(np.float64), q, np.log(rates[1] / rates[0]) * discounts)
+    w = logistic(votes, q, np.log(rates[1] / rates[0]) * discounts)
     real = min(max(prior if prior is not None else share, 1e-4), 1 - 1e-4)
     shift = math.log(real / (1 - real)) - math.log(share / (1 - share))
     names = [*units, *PATTERNS]
     bias = min(float(w[-1] + shift), math.log(MOST_WITHOUT_EVIDENCE / (1 - MOST_WITHOUT_EVIDENCE)))
-    return Model(index, w[:-1], bias, {n: (float(rates[1, i]), float(rates[0, i])) for i, n in enumerate(names)})
+    return Model({u: i for i, u in enumerate(units)}, w[:-1], bias, {n: (float(rates[1, i]), float(rates[0, i])) for i, n in enumerate(names)})
 
 
 def held_out(id_col: str) -> Column:
@@ -305,10 +316,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     words = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(read, f"doc_id {kind}, words array<string>, patterns array<boolean>, toxic int")
-    sample = words.groupBy("doc_id").agg(F.max(F.struct("words", "patterns")).alias("x"), F.max("toxic").alias("toxic")).collect()  # at most twice sample_rows rows, of distinct words
-    sample.sort(key=lambda r: r["doc_id"])
+    sample = words.groupBy("doc_id").agg(F.max(F.struct("words", "patterns")).alias("x"), F.max("toxic").alias("toxic")).select("doc_id", "x.words", "x.patterns", "toxic")
+    table = sample.toArrow().sort_by("doc_id").combine_chunks()  # at most twice sample_rows rows, of distinct words
+    own = {n: table.column(n).combine_chunks() for n in ("words", "patterns", "toxic")}
     total = sum(counts.values())
-    return fit_words([set(r["x"]["words"]) for r in sample], [r["x"]["patterns"] for r in sample], [r["toxic"] for r in sample], counts.get(1, 0) / total if total else None)
+    return fit_words(own["words"], own["patterns"].to_pylist(), own["toxic"].to_pylist(), counts.get(1, 0) / total if total else None)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
