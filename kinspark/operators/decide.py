@@ -19,9 +19,12 @@ def rescue(scored: DataFrame, threshold: float, least: float) -> DataFrame:
 
 
 def rank_aware(scored: DataFrame, base: float, step: float) -> DataFrame:
-    """The j-th best (from 0) must reach base + j * step, at most .999; the first that fails ends the list."""
+    """The j-th best (from 0) must reach base + j * step, at most .999; the first that fails ends the list.
+
+    Bounds are taken to nine places, so that a score equal to one reaches it.
+    """
     rn = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("p"), "c"))
-    ranked = scored.withColumn("_r", rn).withColumn("_ok", (F.col("p") >= F.least(F.lit(base) + (F.col("_r") - 1) * step, F.lit(0.999))).cast("int"))
+    ranked = scored.withColumn("_r", rn).withColumn("_ok", (F.col("p") >= F.least(F.round(F.lit(base) + (F.col("_r") - 1) * step, 9), F.lit(0.999))).cast("int"))
     held = F.min("_ok").over(Window.partitionBy("q").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("_h", held).where("_h = 1").drop("_r", "_ok", "_h")
 
