@@ -509,7 +509,12 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
             group = {i: new if g == old else g for i, g in group.items()}
     kept = [r for r in kept if group[r[0]] == r[0]]
     assert max(r[0] for r in kept) < 1000
-    kept = [r for r in kept if not any(item in " ".join(r[1].split()) for item in items)]
+
+    def holds(text, item):  # a copy in which at most one word (here: a secret put over it) differs
+        text, item = text.split(), item.split()
+        return any(sum(a == b for a, b in zip(text[k:], item, strict=False)) >= len(item) - 1 for k in range(len(text)))
+
+    kept = [r for r in kept if not any(holds(r[1], item) for item in items)]
     owners = {}
     for r in kept:
         for m in re.finditer("(?:token|password)=([A-Za-z0-9+/_.=-]+)", r[1]):
