@@ -37,6 +37,7 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 #: A text without any evidence scores at most this, whatever the share of toxic labels.
 MOST_WITHOUT_EVIDENCE = 0.2
 LEAST_ROWS = 4
+SKETCH = 8
 #: The share of chance units that is allowed among the chosen ones.
 FALSE_SHARE = 0.02
 #: What the model takes the labels' accuracy for before it estimates it.
@@ -128,6 +129,19 @@ def choose_units(row_of: np.ndarray, word_of: np.ndarray, vocabulary: list[str],
     return [u for u, _ in chosen], np.concatenate([rows for _, rows in chosen]) if chosen else none, np.concatenate(at) if at else none
 
 
+def without_copies(words: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    """Places of the rows of which no earlier one with that label is a copy: copies are no independent evidence.
+
+    Rows count as copies where the SKETCH words of least hash are the same ones.
+    """
+    starts = np.asarray(words.offsets, np.int64)
+    mixed = np.asarray(words.values.dictionary_encode().indices, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first: dict[tuple[int, bytes], int] = {}
+    for at, label in enumerate(toxic.tolist()):
+        first.setdefault((label, np.sort(mixed[starts[at] : starts[at + 1]])[:SKETCH].tobytes()), at)
+    return np.array(list(first.values()), np.int64)
+
+
 @dataclass
 class Model:
     units: dict[str, int]
@@ -277,6 +291,8 @@ def fit_words(words: pa.Array, patterns: list[list[bool]], toxic: list[int], pri
         weights = np.zeros(len(PATTERNS))
         weights[0] = 6.0
         return Model({}, weights, -4.0)
+    own = without_copies(words, gold)
+    words, gold, patterns = words.take(pa.array(own)), gold[own], [patterns[i] for i in own]
     coded = pc.list_flatten(words).dictionary_encode()
     row_of = np.asarray(pc.list_parent_indices(words), np.int64)
     units, rows, at = choose_units(row_of, np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist(), gold)
