@@ -345,7 +345,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     by the sample's parameters.
     """
     own = docs.where("lang is not null and doc_id is not null").where(~held_out("doc_id")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")  # of known size, so that a small one is broadcast and ids stay where they are
     least = own.join(counts, "lang").withColumn("step", F.pmod("h", F.lit(STEPS))).where(F.col("step") <= F.lit(4.0 * sample_docs * STEPS) / F.col("n"))
     order = Window.partitionBy("lang").orderBy("step", "h", "doc_id")
     own = least.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs)
