@@ -221,13 +221,20 @@ class WordEncoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.end = np.array([end_id], self.kind).tobytes()
         self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pattern matches; printable ASCII is spelled as it is. Runs share pieces, as they differ in case and marks."""
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = self.pieces[piece] = b"".join([token.id.to_bytes(self.width, "little") for token in self.model.tokenize(spelled)])
+        return ids
 
     def _learn(self, missing: list[str]) -> None:
-        tokenize, letters, width = self.model.tokenize, self.letters, self.width
+        known, new, find, plain = self.pieces.get, self._piece, self.find, self.PLAIN
         other = []
         for run in missing:
-            if self.plain_chain and self.PLAIN(run):
-                self.runs[run] = b"".join(token.id.to_bytes(width, "little") for piece in self.find(run.lower()) for token in tokenize(piece.encode().decode("latin-1").translate(letters)))
+            if self.plain_chain and plain(run):
+                self.runs[run] = b"".join([known(piece) or new(piece) for piece in find(run.lower())])
             else:
                 other.append(run)
         for run, encoded in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
@@ -238,6 +245,7 @@ class WordEncoder:
         wanted: set[str] = set().union(*split)
         if len(self.runs) > self.REMEMBERED:
             self.runs.clear()
+            self.pieces.clear()
         self._learn(list(wanted.difference(self.runs)))
         ids_of = self.runs.__getitem__
         return [b"".join(map(ids_of, parts)) + self.end for parts in split]

@@ -290,6 +290,16 @@ def test_shards(spark, odd_docs, no_docs):
     assert sstable.shard_digests(no_docs, WORDS, 1).count() == 0
 
 
+def test_pieces_are_encoded_once():
+    """Runs that differ in case and marks share their pieces; ids are the library's."""
+    own = sstable.WordEncoder(WORDS, 1)
+    texts = ["Athinti athinti, ATHINTI. (athinti)", "h\u00e9risson H\u00c9RISSON, a\nb \u00a0x  "]
+    got = [memoryview(x).cast("H").tolist() for x in own.encode_many(texts)]  # two bytes an id
+    assert got == [[*x.ids, 1] for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert {"athinti", ",", "."} <= set(own.pieces) and len(own.runs) > 4
+    assert not any(x != x.lower() for x in own.pieces)
+
+
 def test_shards_against_the_library(spark, monkeypatch):
     """Starts, counts and crc of every document, as the tokenizers library has them, over many shards with repeated ids."""
     import random
