@@ -96,6 +96,18 @@ def test_blocking(spark):
         blocking.block(r, blocking.PRESETS[name]).collect()
 
 
+def test_levels_count_each_pair_once(spark):
+    """Counts by level stand for the pairs of every K or combination that takes them in; pairs aren't multiplied."""
+    pairs = [("a", "x", 1), ("a", "y", 2), ("b", "x", 1), ("b", "z", 5), ("d", "y", 5), ("not asked", "x", 1)]
+    cand = spark.createDataFrame(pairs, "q string, c string, level int")
+    truth, queries = spark.createDataFrame([("a", "x"), ("a", "v"), ("b", "z")], "q string, c string"), spark.createDataFrame([("a",), ("b",), ("d",), ("e",)], "q string")
+    levels = [(level, k) for level in (1, 2, 5) for k in (1, 2, 5) if k >= level]
+    got = blocking.evaluate(cand, truth, queries, ("k",), (("level",), spark.createDataFrame(levels, "level int, k int"))).collect()
+    plain = spark.createDataFrame([(q, c, k) for q, c, n in pairs for level, k in levels if level == n], "q string, c string, k int")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, blocking.evaluate(plain, truth, queries, ("k",)).collect()))
+    assert {r["k"]: (r["tp"], r["candidates"]) for r in got} == {1: (1, 2), 2: (1, 3), 5: (2, 5)}
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = blocking.cosine_top_k(_records(spark), blocking.PRESETS["prod-word"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
