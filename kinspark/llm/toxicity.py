@@ -38,6 +38,8 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 MOST_WITHOUT_EVIDENCE = 0.2
 LEAST_ROWS = 4
 SKETCH = 8
+#: Rows of the sample whose units are held at once while they are counted.
+ROWS_AT_ONCE = 128
 #: The share of chance units that is allowed among the chosen ones.
 FALSE_SHARE = 0.02
 #: What the model takes the labels' accuracy for before it estimates it.
@@ -78,42 +80,51 @@ def _tail(k: int, n: int, p: float) -> float:
     return min(0.0, first - math.log(max(1e-12, 1 - ratio)))
 
 
-def unit_rows(row_of: np.ndarray, word_of: np.ndarray, vocabulary: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """For whole words and each length of beginnings: the units' names, and distinct pairs (row, unit).
-
-    ``row_of``, ``word_of``: which row has which word of the vocabulary. Words are numbers, so that memory grows by
-    eight bytes for each word of a row, once a length.
-    """
-    for n in (0, *PREFIXES):
-        place: dict[str, int] = {}
-        code = np.array([place.setdefault(w[:n] if n else w, len(place)) if len(w) >= n else -1 for w in vocabulary], np.int64)
-        if not place:
-            continue
-        own = code[word_of]
-        there = own >= 0
-        pairs = np.unique(row_of[there] * len(place) + own[there])
-        yield [f"^{x}" if n else f"={x}" for x in place], pairs // len(place), pairs % len(place)
+def distinct_pairs(row_of: np.ndarray, word_of: np.ndarray, code: np.ndarray, n_units: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs (row, unit) in order, of ROWS_AT_ONCE rows at a time; ``code``: the unit of each word, or -1. Rows must rise."""
+    if not len(row_of):
+        return
+    for start in range(0, int(row_of[-1]) + 1, ROWS_AT_ONCE):
+        own = slice(*np.searchsorted(row_of, (start, start + ROWS_AT_ONCE)))
+        units = code[word_of[own]]
+        there = units >= 0
+        pairs = np.unique(row_of[own][there].astype(np.int64) * n_units + units[there])
+        yield pairs // n_units, pairs % n_units
 
 
-def choose_units(row_of: np.ndarray, word_of: np.ndarray, vocabulary: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def choose_units(row_of: np.ndarray, word_of: np.ndarray, vocabulary: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Units whose share of toxic rows no chance explains, allowing for how many units were looked at; those in most rows first.
 
-    With them, pairs (row, place among them): the rows in which each speaks.
+    With them, pairs (row, place among them): the rows in which each speaks. ``row_of``, ``word_of``: which row, in rising
+    order, has which word of the vocabulary. Units are counted a block of rows at a time, and only the rows of those
+    that may be chosen are held, so that beside these two columns memory grows with the vocabulary.
     """
     n_toxic, none = int(toxic.sum()), np.zeros(0, np.int64)
-    if not 0 < n_toxic < len(toxic) or not vocabulary:
+    if not 0 < n_toxic < len(toxic) or not len(vocabulary):
         return [], none, none
     prior, looked_at = n_toxic / len(toxic), 0
     found: list[tuple[float, str, int, np.ndarray]] = []
-    for names, rows, units in unit_rows(row_of, word_of, vocabulary):
-        all_rows, in_toxic = np.bincount(units, minlength=len(names)), np.bincount(units[toxic[rows] == 1], minlength=len(names))
+    for n in (0, *PREFIXES):
+        starts = pc.if_else(pc.greater_equal(pc.utf8_length(vocabulary), n), pc.utf8_slice_codeunits(vocabulary, 0, n) if n else vocabulary, None).dictionary_encode()
+        spelled, code = starts.dictionary, pc.fill_null(starts.indices, -1).to_numpy(zero_copy_only=False).copy()
+        if not len(spelled):
+            continue
+        all_rows, in_toxic = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), np.int64)
+        for rows, units in distinct_pairs(row_of, word_of, code, len(spelled)):
+            all_rows += np.bincount(units, minlength=len(spelled))
+            in_toxic += np.bincount(units[toxic[rows] == 1], minlength=len(spelled))
         looked_at += int((in_toxic >= LEAST_ROWS).sum())
         pure = (in_toxic >= LEAST_ROWS) & (in_toxic >= 9 * (all_rows - in_toxic))
-        kept = pure[units]
-        rows, units = rows[kept], units[kept]
+        if not pure.any():
+            continue
+        code[(code < 0) | ~pure[code]] = -1
+        parts = list(distinct_pairs(row_of, word_of, code, len(spelled)))
+        rows, units = (np.concatenate(x) for x in zip(*parts, strict=True))
+        held = np.flatnonzero(pure)
+        names = {i: f"^{x}" if n else f"={x}" for i, x in zip(held.tolist(), spelled.take(pa.array(held)).to_pylist(), strict=True)}
         order = np.argsort(units, kind="stable")
         cuts = np.flatnonzero(np.diff(units[order])) + 1
-        for own in np.split(order, cuts) if len(order) else ():
+        for own in np.split(order, cuts):
             u = int(units[own[0]])
             found.append((_tail(int(in_toxic[u]), int(all_rows[u]), prior), names[u], int(in_toxic[u]), rows[own]))
     found.sort(key=lambda x: x[:2])
@@ -294,8 +305,9 @@ def fit_words(words: pa.Array, patterns: list[list[bool]], toxic: list[int], pri
     own = without_copies(words, gold)
     words, gold, patterns = words.take(pa.array(own)), gold[own], [patterns[i] for i in own]
     coded = pc.list_flatten(words).dictionary_encode()
-    row_of = np.asarray(pc.list_parent_indices(words), np.int64)
-    units, rows, at = choose_units(row_of, np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist(), gold)
+    row_of = np.asarray(pc.list_parent_indices(words), np.int32)
+    del words
+    units, rows, at = choose_units(row_of, np.asarray(coded.indices, np.int32), coded.dictionary, gold)
     del coded, row_of
     votes = np.zeros((len(gold), len(units) + len(PATTERNS)), np.float32)
     votes[rows, at] = 1
@@ -335,8 +347,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = words.groupBy("doc_id").agg(F.max(F.struct("words", "patterns")).alias("x"), F.max("toxic").alias("toxic")).select("doc_id", "x.words", "x.patterns", "toxic")
     table = sample.toArrow().sort_by("doc_id").combine_chunks()  # at most twice sample_rows rows, of distinct words
     own = {n: table.column(n).combine_chunks() for n in ("words", "patterns", "toxic")}
+    del table
     total = sum(counts.values())
-    return fit_words(own["words"], own["patterns"].to_pylist(), own["toxic"].to_pylist(), counts.get(1, 0) / total if total else None)
+    model = fit_words(own.pop("words"), own["patterns"].to_pylist(), own["toxic"].to_pylist(), counts.get(1, 0) / total if total else None)
+    pa.default_memory_pool().release_unused()  # the driver has it for the stages that follow
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -390,3 +392,20 @@ def test_toxic_words_without_spaces():
         texts[i] = texts[i][:13] + "混蛋" + texts[i][13:]
     score = toxicity.fit(texts, [int(i % 5 == 0) for i in range(400)]).scorer()
     assert score("天地人混蛋山水") >= 0.3 > score("天地人山水")
+
+
+def test_units_are_counted_in_little_memory():
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{'bad' if i < 6 else 'w'}{i:05d}x" for i in range(3000)]
+    toxic = (np.arange(900) % 3 == 0).astype(np.int64)
+    words = [np.unique(np.concatenate([rng.integers(6, 3000, 400), rng.integers(0, 6, 2 * t)])) for t in toxic.tolist()]
+    row_of, word_of = np.repeat(np.arange(900, dtype=np.int32), [len(w) for w in words]), np.concatenate(words).astype(np.int32)
+    tracemalloc.start()
+    names, rows, at = toxicity.choose_units(row_of, word_of, pa.array(vocabulary), toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(row_of)
+    assert "=bad00002x" in names
+    for i, unit in enumerate(names):
+        held = [r for r, own in enumerate(words) if any(unit in toxicity.units_of(vocabulary[w]) for w in own if w < 6)]
+        assert rows[at == i].tolist() == held
