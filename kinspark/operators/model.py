@@ -62,9 +62,13 @@ def split(pairs: DataFrame, train_percent: int = 75, seed: int = 42) -> DataFram
 
 def train(rows: DataFrame, features: list[str], preset: TreePreset = PRESETS["v2"], seed: int = 42) -> GBTClassificationModel:
     """Boosted trees on ``label``, stopping early on ``validation`` rows if that column is there."""
-    made = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
+    return fit(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows), preset, seed)
+
+
+def fit(made: DataFrame, preset: TreePreset = PRESETS["v2"], seed: int = 42) -> GBTClassificationModel:
+    """As :func:`train`, with the vector ``features``."""
     kind = GBTClassifier(featuresCol="features", labelCol="label", maxIter=preset.rounds, stepSize=preset.step, maxDepth=preset.depth, minInstancesPerNode=preset.least, subsamplingRate=preset.rows, featureSubsetStrategy=preset.features, seed=seed)
-    if "validation" in rows.columns:
+    if "validation" in made.columns:
         kind = kind.setValidationIndicatorCol("validation")
     return kind.fit(made)
 
@@ -73,8 +77,13 @@ def predict(model: GBTClassificationModel, rows: DataFrame, features: list[str],
     """Rows with the probability ``name``; ValueError where the model was fitted on another number of features."""
     if model.numFeatures != len(features):
         raise ValueError(f"the model has {model.numFeatures} features, {len(features)} are given")
-    made = model.transform(VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="keep").transform(rows).withColumnRenamed("_f", "features"))
-    return made.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    made = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="keep").transform(rows).withColumnRenamed("_f", "features")
+    return score(model, made, name)
+
+
+def score(model: GBTClassificationModel, made: DataFrame, name: str = "p") -> DataFrame:
+    """As :func:`predict`, with the vector ``features``, which goes."""
+    return model.transform(made).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def importance(model: GBTClassificationModel, features: list[str], n: int = 20) -> list[tuple[str, float]]:

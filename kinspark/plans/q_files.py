@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.operators import decide, features, metrics, model, relative
+from kinspark.operators import decide, metrics, model, vector
 from kinspark.plans import bridge as b
 from kinspark.plans.q_blocking import EVERY
-from kinspark.plans.q_features import feature_frame
+from kinspark.plans.q_features import token_idf
 from kinspark.plans.q_metrics import LAB, T
 from kinspark.sources import files
 
@@ -81,15 +82,10 @@ def er_query_sample(spark, d) -> DataFrame:
     return model.sample_queries(b.entities(spark, d).where("source = 'S1'"), 5).select("entity_id", "country")
 
 
-def _vector(spark, d) -> tuple[DataFrame, list[str]]:
-    """All features, absolute and relative, with labels: 79 columns."""
-    own = feature_frame(spark, d, tuple(features.GROUPS)).join(b.pairs(spark, d).select("q", "c", "source"), ["q", "c"])
-    from kinspark.plans.q_blocking import _forms
-
-    rel = relative.relative_features(own)
-    crossed = relative.cross_rank(rel.join(relative.cross_source(own.select("q", "c", "source", relative.KEY), _forms(spark, d)), ["q", "c"]))
-    names = [c for c in crossed.columns if c not in ("q", "c", "source", features.DEAD)]
-    return model.label(crossed, b.truth(spark, d)), names
+def _vector(spark, d) -> DataFrame:
+    """``q, c, label, vector``: all features, absolute and relative, 79 numbers a pair."""
+    labelled = model.label(b.pairs(spark, d).select("q", "c", "source"), b.truth(spark, d))
+    return vector.pair_vectors(labelled, b.normalised(spark, d), token_idf(spark, d), ("label",))
 
 
 def _held_out(spark, d) -> DataFrame:
@@ -98,11 +94,8 @@ def _held_out(spark, d) -> DataFrame:
 
 
 def _fitted(spark, d) -> DataFrame:
-    rows = b.kept(spark, d, "vector", lambda s, x: _vector(s, x)[0])
-    names = [c for c in rows.columns if c not in ("q", "c", "source", "label", features.DEAD)]
-    own = model.split(rows)
-    fitted = model.train(own, names, model.PRESETS["v2"])
-    return model.predict(fitted, own.where("validation"), names).select("q", "c", "label", "p")
+    rows = model.split(b.kept(spark, d, "vector", _vector)).withColumn("features", array_to_vector("vector")).drop("vector")
+    return model.score(model.fit(rows, model.PRESETS["v2"]), rows.where("validation")).select("q", "c", "label", "p")
 
 
 def er_gbt_scores(spark, d) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinspark.functions import text, tokens
-from kinspark.operators import blocking, decide, metrics, model, profile, relative
+from kinspark.operators import blocking, decide, features, metrics, model, profile, relative, vector
 from kinspark.sources import files
 from kinspark.streaming import ingest
 
@@ -246,3 +246,24 @@ def test_streaming(spark, tmp_path):
     query = ingest.match_stream(spark.readStream.schema(records.schema).parquet(f"{tmp_path}/in"), index, f"{tmp_path}/out", f"{tmp_path}/cp")
     query.awaitTermination(60)
     assert [(r["q"], r["c"], r["shared"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("S1-1", "S2-1", 2)]
+
+
+def test_vector_is_what_the_single_features_are(spark):
+    texts = [
+        ("cafe paris sarl", "12 main street 3rd floor springfield"), ("cafe pariss", "0012 main st third floor springfield"), ("paris cafe", "12 mane street"),
+        ("intl trading house", "125 oak avenue texas 7"), ("international trading", "1250 oak avenue california 8"), ("trading", ""), ("", "12 main street"), ("", ""),
+        ("cafe cafe paris", "main 12 street 12"), ("grand hotel of the northern lights and of the southern cross resort", "99 oak avenue berlin 125"), ("intl tradnig hous", "15 oak avenu texas 07"),
+    ]
+    rows = [(f"{s}-{i}", n, a) for i, (n, a) in enumerate(texts) for s in ("S1", "S2", "S3")]
+    records = spark.createDataFrame(rows, "entity_id string, name_norm string, addr_norm string")
+    pairs = spark.createDataFrame([(x[0], y[0], y[0][:2], int(x[1:] == y[1:])) for x in rows for y in rows if x[0][:2] == "S1" != y[0][:2]], "q string, c string, source string, label int")
+    idf = tokens.feature_idf(records.select(text.tokens(text.combo("name_norm", "addr_norm")).alias("terms")), "terms").where("term <> 'oak'")
+    nine = lambda frame, names: frame.withColumns({n: F.round(n, 9) for n in names})
+    own = nine(features.pair_features(pairs, records, idf, keep=("q", "c", "source", "label")), relative.BASE)
+    crossed = nine(relative.cross_source(own, features.record_forms(records, idf)), ["cross_addr", "cross_name"])
+    want = relative.cross_rank(relative.relative_features(own).join(crossed, ["q", "c"])).toPandas().set_index(["q", "c"]).sort_index()
+    got = vector.pair_vectors(pairs.repartition(3), records, idf, ("label",)).toPandas().set_index(["q", "c"]).sort_index()
+    assert list(got.index) == list(want.index) and list(got["label"]) == list(want["label"])
+    assert vector.NAMES == [n for n in want.columns if n not in ("source", "label", features.DEAD)]
+    for i, name in enumerate(vector.NAMES):
+        assert [v[i] for v in got["vector"]] == pytest.approx(list(want[name]), abs=1e-6), name
