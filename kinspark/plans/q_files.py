@@ -94,8 +94,12 @@ def _held_out(spark, d) -> DataFrame:
 
 
 def _fitted(spark, d) -> DataFrame:
-    rows = model.split(b.kept(spark, d, "vector", _vector)).withColumn("features", array_to_vector("vector")).drop("vector")
-    return model.score(model.fit(rows, model.PRESETS["v2"]), rows.where("validation")).select("q", "c", "label", "p")
+    """The vector is written once: trees read it often, and each of their jobs would carry its whole lineage, which the driver keeps."""
+    own, path = b.stored(_vector(spark, d), "vector")
+    rows = model.split(own).withColumn("features", array_to_vector("vector")).drop("vector")
+    scores, _ = b.stored(model.score(model.fit(rows, model.PRESETS["v2"]), rows.where("validation")).select("q", "c", "label", "p"), "held-out")
+    b.drop(spark, path)
+    return scores
 
 
 def er_gbt_scores(spark, d) -> DataFrame:

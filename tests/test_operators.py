@@ -267,3 +267,13 @@ def test_vector_is_what_the_single_features_are(spark):
     assert vector.NAMES == [n for n in want.columns if n not in ("source", "label", features.DEAD)]
     for i, name in enumerate(vector.NAMES):
         assert [v[i] for v in got["vector"]] == pytest.approx(list(want[name]), abs=1e-6), name
+
+
+def test_stored_frames_have_no_lineage(spark):
+    from kinspark.plans import bridge
+
+    frame, path = bridge.stored(spark.range(100).repartition(3).selectExpr("id % 7 AS k").groupBy("k").count(), "test")
+    assert sorted(map(tuple, frame.collect())) == [(0, 15), (1, 15), *((k, 14) for k in range(2, 7))]
+    assert "Exchange" not in frame._jdf.queryExecution().toString() and "Shuffled" not in frame.rdd.toDebugString().decode()
+    bridge.drop(spark, path)
+    assert not spark.sparkContext._jvm.java.io.File(path.removeprefix("file:")).exists()
